@@ -12,7 +12,7 @@ no rows; a document of any length is cut freely; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +26,8 @@ from geoloom.llm.common import materialise, text_or_empty
 LENGTH = 2048
 END = 1
 DIMS, DEPTH = 4, 12  # numbers in a vector and bits of each on the curve
-CACHE = 400_000  # words whose ids a worker remembers
-_WORDS = re.compile("[ \t\n\r]+")
+CACHE = 800_000  # words whose ids a worker remembers
+MARKS = ".,;:!?"
 _known: dict[str, dict] = {}
 
 
@@ -38,33 +38,59 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and never joins across it, so
-    texts are cut there and words that were seen are not encoded again."""
+    """Token ids as little-endian unsigned 32-bit bytes, the same as of the whole text. The tokenizer drops white space,
+    never joins across it, and ends each run of letters with a token of its own kind; so texts are cut at white space,
+    new words are encoded many in a row, and words that were seen are not encoded again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        words = _WORDS.split(text)
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def in_a_row(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only, each of which ends with one last token; if the count differs, one by one."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self.one_by_one(words)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: set[str]) -> None:
         ids = self.ids
-        new = [w for w in set(words) if w not in ids]
-        if len(ids) + len(new) > CACHE:
-            ids.clear()
-            new = list(set(words))
-        extra = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (ids if len(w) <= 64 else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join(extra[w] if w in extra else ids[w] for w in words)
-        return b"".join(map(ids.__getitem__, words))
+        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
+        plain = {w for w in words if w.isalpha()}.union(w[:-1] for w in marked if w[:-1] not in ids)
+        plain = list(plain)
+        for i in range(0, len(plain), 500):
+            ids.update(zip(plain[i : i + 500], self.in_a_row(plain[i : i + 500]), strict=True))
+        ids.update((w, ids[w[:-1]] + ids[w[-1]]) for w in marked)
+        rest = [w for w in words if w not in ids]
+        ids.update(zip(rest, self.one_by_one(rest), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.ids) > CACHE:
+            self.ids.clear()
+        if not self.ids:
+            self.ids.update(zip(MARKS, self.one_by_one(list(MARKS)), strict=True))
+        new = set().union(*cut).difference(self.ids)
+        self.learn(new)
+        out = [b"".join(map(self.ids.__getitem__, words)) for words in cut]
+        for w in new:
+            if len(w) > 64:
+                del self.ids[w]
+        return out
 
 
 def encoder(path: str) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
     if path not in _known:
         _known[path] = Encoder(path)
     return _known[path]
@@ -122,7 +148,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                ids = [encode(t) + end for t in part["text"]]
+                ids = [x + end for x in encode(list(part["text"]))]
                 sums = np.array([table[np.frombuffer(x, "<u4")].sum(axis=0) for x in ids])
                 yield part.drop(columns="text").assign(curve=curve_key(sums), n=[len(x) // 4 for x in ids], ids=ids)
 

@@ -46,11 +46,14 @@ def windows(unit: str) -> list[str]:
 
 
 def as_rows(texts: list[str], width: int) -> np.ndarray:
-    """Code points, padded with zeros."""
-    out = np.zeros((len(texts), width), np.int32)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
-    return out
+    """Code points of the first ``width`` letters, padded with zeros."""
+    return np.array(texts, f"<U{width}").view(np.int32).reshape(len(texts), width)
+
+
+def letter_bits(rows: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """For each row the set of those of up to 62 sorted letters that it has."""
+    at = np.minimum(np.searchsorted(letters, rows), len(letters) - 1)
+    return np.bitwise_or.reduce(np.where(letters[at] == rows, np.int64(1) << at, 0), axis=1)
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -81,17 +84,16 @@ def self_kernel(rows: np.ndarray) -> np.ndarray:
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised K of words at landmarks; pairs that share too few different letters are zero at once."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    letters = {c: 1 << i for i, c in enumerate(sorted(set("".join(landmarks)))[:62])}
-    bits = lambda texts: np.array([sum({letters.get(c, 0) for c in t}) for t in texts], np.int64)
+    letters = np.unique(as_rows(["".join(landmarks)], sum(map(len, landmarks))))[:62]
     for size in sorted(set(map(len, landmarks))):
         at = np.array([j for j, m in enumerate(landmarks) if len(m) == size])
         heads: dict[str, int] = {}
         back = np.array([heads.setdefault(w[: size + SPARE], len(heads)) for w in words], np.int64)
-        marks = bits([landmarks[j] for j in at])
-        a, b = np.nonzero(np.bitwise_count(bits(heads)[:, None] & marks) >= np.maximum(ORDER, np.bitwise_count(marks) - 1))
+        rows, marked = as_rows(list(heads), size + SPARE), as_rows([landmarks[j] for j in at], size)
+        marks = letter_bits(marked, letters)
+        a, b = np.nonzero(np.bitwise_count(letter_bits(rows, letters)[:, None] & marks) >= np.maximum(ORDER, np.bitwise_count(marks) - 1))
         if not len(a):
             continue
-        rows, marked = as_rows(list(heads), size + SPARE), as_rows([landmarks[j] for j in at], size)
         used, place = np.unique(a, return_inverse=True)
         norms, mark_norms = self_kernel(rows[used]), self_kernel(marked)
         values = np.zeros((len(heads), len(at)), np.float32)
@@ -163,10 +165,10 @@ def evidence(texts: list[str], model: Model) -> np.ndarray:
     out = np.zeros((len(texts), 2))
     out[:, 0] = model.bias
     sentences = [[units_of(s.split()) for s in SENTENCE.split(t.lower())] for t in texts]
-    for lo in range(0, len(texts), 64):
-        kernels.learn({u for doc in sentences[lo : lo + 64] for s in doc for u in s})
+    for lo in range(0, len(texts), 256):
+        kernels.learn({u for doc in sentences[lo : lo + 256] for s in doc for u in s})
         known = kernels.known
-        for i, doc in enumerate(sentences[lo : lo + 64], lo):
+        for i, doc in enumerate(sentences[lo : lo + 256], lo):
             near = [k for k in ([k for k in map(known.__getitem__, s) if k is not None] for s in doc) if k]
             if near:
                 margins = np.array([np.max(k, axis=0) for k in near]) @ model.weights + model.bias
