@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing lazy reads it any more."""
+    path = _paths.pop(df)
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def per_text(rows: DataFrame, made: dict[str, str], f: Callable[[list[str]], tuple], size: int = 256) -> DataFrame:
+    """rows with a column ``text`` -> the other columns and those that f makes of ``size`` texts at a time."""
+    keep = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                new = f(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, _ARROW[t]) for x, t in zip(new, made.values(), strict=True))], names=[*keep, *made])
+
+    schema = rows.select(*keep).schema
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)
 
 
 def text_or_empty(column: str) -> Column:

@@ -20,11 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import partitions, text_or_empty
+from geoloom.llm.common import partitions, per_text, text_or_empty
 
 SIZE = 64
 LEAST = 2
@@ -65,7 +65,7 @@ def _next_level(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
     second[1:] = _tossed(label[1:], label[:-1])
     second[start] = 0
     cut = start.copy()
-    cut[1:-1] |= (second[1:-1] > second[:-2]) & (second[1:-1] > second[2:])
+    cut[1:] |= (second[1:] > second[:-1]) & (second[1:] > np.r_[second[2:], np.uint8(0)])  # zero follows the last symbol of any text
     cut[1:] &= start[1:] | ~start[:-1]  # no phrase of a first symbol alone
     at = np.flatnonzero(cut)
     phrase = np.cumsum(cut) - 1
@@ -123,12 +123,7 @@ def likeness(a: bytes, b: bytes) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, fingerprint (hex)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="text").assign(fingerprint=[x.hex() for x in fingerprint_many(list(b["text"]))])
-
-    return rows.mapInPandas(run, rows.drop("text").schema.add("fingerprint", "string"))
+    return per_text(rows, {"fingerprint": "string"}, lambda texts: ([x.hex() for x in fingerprint_many(texts)],))
 
 
 def _ranges(ids: DataFrame) -> list[int]:
@@ -147,19 +142,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tops = _ranges(rows.select("id"))
     up, last = [-t for t in tops], max(0, len(tops) - 1)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = fingerprint_many(list(b["text"]))
-            out = []
-            for i, text, fp in zip(b["id"], b["text"], prints, strict=True):
-                i = None if pd.isna(i) else int(i)
-                r = last if i is None else bisect.bisect_right(up, -i) - 1
-                out.append((r, False, i, text, fp))
-                if i is None and not tops or i is not None and i == tops[r]:
-                    out.append((r - 1 if r > 0 else last, True, i, text, fp))  # who comes after that range's last
-            yield pd.DataFrame(out, columns=["range", "after", "id", "text", "fp"]).astype({"id": "Int64"})
-
-    def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts, out = part.column("text").to_pylist(), []
+                for i, text, fp in zip(part.column("id").to_pylist(), texts, fingerprint_many(texts), strict=True):
+                    r = last if i is None else bisect.bisect_right(up, -i) - 1
+                    out.append((r, False, i, text, fp))
+                    if i is None and not tops or i is not None and i == tops[r]:
+                        out.append((r - 1 if r > 0 else last, True, i, text, fp))  # who comes after that range's last
+                kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["range", "after", "id", "text", "fp"])
+
+    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         held: list[tuple] = []  # the latest document
         got = False  # whether its range's last document has its next
@@ -167,33 +163,35 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         def add(row: tuple, nxt: tuple) -> None:
             _, i, text, fp = row
             half = len(text) // 2
-            new = text[: len(text) - half] + nxt[2][:half]
-            done.append((i, text, new, fp, nxt[3]))
+            done.append((i, text, text[: len(text) - half] + nxt[2][:half], fp, nxt[3]))
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             news = fingerprint_many([d[2] for d in done])
             out = [
                 (i, len(text), hashlib.sha256(new.encode()).hexdigest(), fp.hex(), nfp.hex(), likeness(fp, nfp), likeness(fp, following))
                 for (i, text, new, fp, following), nfp in zip(done, news, strict=True)
             ]
             done.clear()
-            return pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for b in batches:
-            for r, after, i, text, fp in zip(b["range"], b["after"], b["id"], b["text"], b["fp"], strict=True):
-                row = (r, None if pd.isna(i) else int(i), text, fp)
-                if held and held[0][0] == r and not got:
-                    add(held[0], (row[0], row[1], text, fp))
-                if after:
-                    got = True
-                else:
-                    held, got = [row], False
-                if len(done) >= 500:
-                    yield flush()
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for r, after, i, text, fp in zip(*(part.column(c).to_pylist() for c in ("range", "after", "id", "text", "fp")), strict=True):
+                    row = (r, i, text, fp)
+                    if held and held[0][0] == r and not got:
+                        add(held[0], row)
+                    if after:
+                        got = True
+                    else:
+                        held, got = [row], False
+                    if len(done) >= 256:
+                        yield flush()
         if done:
             yield flush()
 
-    sent = rows.mapInPandas(parse, "range int, after boolean, id long, text string, fp binary")
-    return sent.repartition("range").sortWithinPartitions("range", "after", F.col("id").desc_nulls_last(), "text").mapInPandas(
+    sent = rows.mapInArrow(parse, "range int, after boolean, id long, text string, fp binary")
+    return sent.repartition("range").sortWithinPartitions("range", "after", F.col("id").desc_nulls_last(), "text").mapInArrow(
         edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

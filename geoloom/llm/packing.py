@@ -17,11 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, text_or_empty
+from geoloom.llm.common import materialise, per_text, text_or_empty
 
 LENGTH = 2048
 END = 1
@@ -49,6 +49,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.signs = signs(np.arange(len(self.last)))
         self.ids: dict[str, bytes] = {}
 
     def one_by_one(self, words: list[str]) -> list[bytes]:
@@ -138,21 +139,14 @@ def curve_key(sums: np.ndarray) -> np.ndarray:
 def tokens(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """doc_id, curve (key), n, ids (binary, the end id included)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = rows.drop("text").schema.add("curve", "long").add("n", "long").add("ids", "binary")
+    end = np.array([END], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> tuple:
         encode = encoder(path)
-        width = encode.tokenizer.get_vocab_size(with_added_tokens=True)
-        table = signs(np.arange(width))
-        end = np.array([END], "<u4").tobytes()
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                ids = [x + end for x in encode(list(part["text"]))]
-                sums = np.array([table[np.frombuffer(x, "<u4")].sum(axis=0) for x in ids])
-                yield part.drop(columns="text").assign(curve=curve_key(sums), n=[len(x) // 4 for x in ids], ids=ids)
+        ids = [x + end for x in encode(texts)]
+        return curve_key(np.array([encode.signs[np.frombuffer(x, "<u4")].sum(axis=0) for x in ids])), [len(x) // 4 for x in ids], ids
 
-    return rows.mapInPandas(run, schema)
+    return per_text(rows, {"curve": "long", "n": "long", "ids": "binary"}, run)
 
 
 def tape(lengths: DataFrame) -> tuple[DataFrame, int]:
@@ -194,13 +188,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     places, total = tape(made.select("row", "doc_id", "curve", "n"))
     schema = made.select("doc_id").schema.add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long").add("ids", "binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, n, ids, first in zip(b["doc_id"], b["n"], b["ids"], b["first"], strict=True):
-                for start, size, seq, offset in cuts(first, n, total, length):
-                    piece = ids[4 * start : 4 * (start + size)]
-                    out.append((doc, start, size, zlib.crc32(piece), n, seq, offset, piece))
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return made.select("row", "doc_id", "n", "ids").join(places, "row").select("doc_id", "n", "ids", "first").mapInPandas(run, schema)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                out, whose = [], []
+                for i, (n, ids, first) in enumerate(zip(*(part.column(c).to_pylist() for c in ("n", "ids", "first")), strict=True)):
+                    for start, size, seq, offset in cuts(first, n, total, length):
+                        piece = ids[4 * start : 4 * (start + size)]
+                        out.append((start, size, zlib.crc32(piece), n, seq, offset, piece))
+                        whose.append(i)
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(whose)), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=schema.names)
+
+    return made.select("row", "doc_id", "n", "ids").join(places, "row").select("doc_id", "n", "ids", "first").mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, text_or_empty
+from geoloom.llm.common import materialise, per_text, text_or_empty
 
 MAX_DOCS = 12_000
 TREES, DEPTH, BINS, RATE, LEAST = 80, 4, 64, 0.15, 8.0
@@ -128,10 +128,4 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, id_col
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([statistics(t) for t in b["text"]], float).reshape(-1, len(FEATURES))
-            yield b.drop(columns="text").assign(score=model.score(x))
-
-    return rows.mapInPandas(run, rows.drop("text").schema.add("score", "double"))
+    return per_text(rows, {"score": "double"}, lambda texts: (model.score(np.array([statistics(t) for t in texts], float)),))

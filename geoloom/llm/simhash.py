@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, text_or_empty
+from geoloom.llm.common import materialise, per_text, text_or_empty
 from geoloom.llm.components import components
 
 SHINGLE = 3
@@ -49,14 +49,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a signed long)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    schema = rows.drop("text").schema.add("fp", "long")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(t, size) for t in b["text"]], np.uint64).view(np.int64)
-            yield b.drop(columns="text").assign(fp=fps)
-
-    return rows.mapInPandas(run, schema)
+    return per_text(rows, {"fp": "long"}, lambda texts: (np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64),))
 
 
 def trie_links(codes: np.ndarray, groups: np.ndarray, low: int, budget: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,13 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, text_or_empty
+from geoloom.llm.common import discard, materialise, text_or_empty
 
 LENGTH = 200
-GRAM = 64
+GRAM = 48
 CHUNK = 1 << 20  # bytes hashed together
 ORDERED = 1 << 21  # bytes put in suffix order together, whole grams at a time
 _LOW = 21  # bits for a place in a chunk
@@ -104,7 +105,7 @@ def chunks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         return np.frombuffer(b"".join(b for b, _, _ in held), np.uint8), np.cumsum(lengths) - lengths, np.array([i for _, i, _ in held]), np.array([o for _, _, o in held])
 
     for i, t in enumerate(texts):
-        for o in range(0, max(1, len(t) - length + 1), CHUNK):
+        for o in range(0, len(t) - length + 1, CHUNK):
             part = t[o : o + CHUNK + length - 1]
             if size + len(part) > CHUNK + length and held:
                 yield out()
@@ -121,19 +122,28 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scan(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row per piece (g, p, doc, row, at, n) and one per document (g null; p and at hold t1 and t2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33  # a number for each document; it holds once this scan is written
+        names = ["g", "p", "doc", "row", "at", "n"]
         for b in batches:
-            doc, t1, t2 = (b.column(c).to_numpy() for c in ("doc", "t1", "t2"))
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            for data, begins, number, offset in chunks(texts, length):
-                g, p, first, n = pieces(data, begins, length, gram)
-                for lo in range(0, len(g), 50_000):
-                    s = slice(lo, lo + 50_000)
-                    k = np.searchsorted(begins, first[s], "right") - 1
-                    i = number[k]
-                    yield pa.RecordBatch.from_pydict({"g": g[s], "p": p[s], "doc": doc[i], "t1": t1[i], "t2": t2[i], "at": (first[s] - begins[k] + offset[k]).astype(np.int32), "n": n[s].astype(np.int16)})
-
-    return rows.mapInArrow(run, "g long, p long, doc long, t1 long, t2 long, at int, n short")
+            doc, t1, t2 = (b.column(c) for c in ("doc", "t1", "t2"))
+            n_docs = b.num_rows
+            own = np.arange(row, row + n_docs)
+            row += n_docs
+            if n_docs:
+                yield pa.RecordBatch.from_arrays([pa.nulls(n_docs, pa.int64()), t1, doc, pa.array(own), t2, pa.nulls(n_docs, pa.int16())], names=names)
+            doc = doc.to_numpy()
+            for lo in range(0, n_docs, 512):
+                texts = b.column("text").slice(lo, 512).cast(pa.binary()).to_pylist()
+                for data, begins, number, offset in chunks(texts, length):
+                    g, p, first, n = pieces(data, begins, length, gram)
+                    k = np.searchsorted(begins, first, "right") - 1
+                    i = number[k] + lo
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(p), pa.array(doc[i]), pa.array(own[i]), pa.array(first - begins[k] + offset[k]), pa.array(n.astype(np.int16))], names=names)
+
+    return rows.mapInArrow(run, "g long, p long, doc long, row long, at long, n short")
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -188,9 +198,6 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-PIECE = "g long, p long, whole boolean, doc long, at int, spans array<struct<a:int,b:int>>, earlier array<struct<a:int,b:int>>"
-
-
 def _suffix_step(texts: DataFrame, length: int) -> DataFrame:
     """texts (g, p, doc, at, piece), sorted by g in a partition -> spans of repeated starts of each piece."""
 
@@ -227,38 +234,43 @@ def _suffix_step(texts: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
     """(doc, t1, t2, starts): for documents with any, the spans of starts whose strings go."""
     rows = _identified(docs, id_col, text_col)
-    found = materialise(_scan(rows, length, gram), "pieces")
+    scanned = materialise(_scan(rows, length, gram), "pieces")
+    found = scanned.where("g is not null").select("g", "p", "doc", "row", F.col("at").cast("int").alias("at"), "n")
+    owners = materialise(scanned.where("g is null").select("row", "doc", F.col("p").alias("t1"), F.col("at").alias("t2")), "owners")
     seen = found.groupBy("g").agg(F.count("*").alias("times"), F.min("p").alias("p0"), F.max("p").alias("p1")).where("times > 1")
-    seen = seen.select("g", (F.col("p0") != F.col("p1")).alias("mixed"))
+    seen = materialise(seen.select("g", (F.col("p0") != F.col("p1")).alias("mixed")), "grams")  # written, so that the join's sides can be split
     shared = materialise(found.join(seen, "g"), "shared")
-    first = F.min(F.struct("doc", "at", "t1", "t2", "n")).alias("first")
+    discard(scanned)
+    first = F.min(F.struct("doc", "at", "row", "n")).alias("first")
     kinds = materialise(shared.groupBy("g", "p", "mixed").agg(F.count("*").alias("times"), first), "kinds")
 
-    at = kinds.where("mixed").select("first.doc", "first.t1", "first.t2", F.struct("g", "p", "first.at", "first.n").alias("piece"))
-    wanted = at.groupBy("doc", "t1", "t2").agg(F.collect_list("piece").alias("pieces"))  # at most a document's own pieces
+    at = kinds.where("mixed").select("first.row", F.struct("g", "p", "first.at", "first.n").alias("piece"))
+    wanted = at.groupBy("row").agg(F.collect_list("piece").alias("pieces")).join(owners, "row").drop("row")  # at most a document's own pieces
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, doc, lists in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("doc").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-                for lo in range(0, len(lists), 2000):
-                    part = lists[lo : lo + 2000]
-                    yield pa.RecordBatch.from_pydict(
-                        {"g": [x["g"] for x in part], "p": [x["p"] for x in part], "doc": [doc] * len(part), "at": pa.array([x["at"] for x in part], pa.int32()), "piece": pa.array([text[x["at"] : x["at"] + x["n"] + length - 1] for x in part], pa.binary())}
-                    )
+            for at in range(0, b.num_rows, 128):
+                rows = b.slice(at, 128)
+                for text, doc, lists in zip(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("doc").to_pylist(), rows.column("pieces").to_pylist(), strict=True):
+                    for lo in range(0, len(lists), 2000):
+                        part = lists[lo : lo + 2000]
+                        yield pa.RecordBatch.from_pydict(
+                            {"g": [x["g"] for x in part], "p": [x["p"] for x in part], "doc": [doc] * len(part), "at": pa.array([x["at"] for x in part], pa.int32()), "piece": pa.array([text[x["at"] : x["at"] + x["n"] + length - 1] for x in part], pa.binary())}
+                        )
 
     texts = rows.join(wanted, ["doc", "t1", "t2"]).select("doc", "text", "pieces").mapInArrow(cut, "g long, p long, doc long, at int, piece binary")
-    ordered = _suffix_step(texts, length)
+    ordered = materialise(_suffix_step(texts, length), "suffixes")
     known = kinds.join(ordered, ["g", "p"], "left").select("g", "p", "times", "first", "spans", "earlier").where("times > 1 or size(spans) > 0")
-    here = shared.join(known, ["g", "p"])
+    here = shared.join(materialise(known, "known"), ["g", "p"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
     if keep_first:
-        is_first = (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+        is_first = (F.col("row") == F.col("first.row")) & (F.col("at") == F.col("first.at"))
         starts: Column = F.when(is_first, F.coalesce("earlier", F.array().cast("array<struct<a:int,b:int>>"))).otherwise(whole)
     else:
         starts = F.when(F.col("times") > 1, whole).otherwise(F.col("spans"))
     moved = F.transform(starts, lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
-    placed = here.select("doc", "t1", "t2", moved.alias("s")).where("size(s) > 0")
-    return placed.groupBy("doc", "t1", "t2").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    placed = here.select("row", moved.alias("s")).groupBy("row").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    return placed.join(owners, "row").groupBy("doc", "t1", "t2").agg(F.min_by("starts", "row").alias("starts")).where("size(starts) > 0")
 
 
 def merged(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -306,12 +318,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, starts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__starts").to_pylist(), strict=True):
-                gone = merged(starts, length)
-                out.append((len(t), sum(y - x for x, y in gone), len(gone), hashlib.sha256(kept_bytes(t, gone)).hexdigest()))
-            n_bytes, n_removed, n_spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=schema.names)
+            for at in range(0, b.num_rows, 256):
+                part, out = b.slice(at, 256), []
+                for t, starts in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("__starts").to_pylist(), strict=True):
+                    gone = merged(starts, length)
+                    out.append((len(t), sum(y - x for x, y in gone), len(gone), hashlib.sha256(kept_bytes(t, gone)).hexdigest()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -322,12 +335,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [
-                t if not s else kept_text(t.encode(), merged(s, length))
-                for t, s in zip(b.column(text_col).to_pylist(), b.column("__starts").to_pylist(), strict=True)
-            ]
-            at = b.schema.get_field_index(text_col)
-            b = b.set_column(at, pa.field(text_col, pa.string()), pa.array(texts, pa.string()))
-            yield b.select(columns)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                both = zip(part.column(text_col).to_pylist(), part.column("__starts").to_pylist(), strict=True)
+                texts = [kept_text(t.encode(), merged(s, length)) if s else t for t, s in both]
+                at = part.schema.get_field_index(text_col)
+                yield part.set_column(at, pa.field(text_col, pa.string()), pa.array(texts, pa.string())).select(columns)
 
     return rows.mapInArrow(run, docs.schema)

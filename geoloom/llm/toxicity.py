@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, text_or_empty
+from geoloom.llm.common import materialise, per_text, text_or_empty
 
 ORDER, DECAY, FLOOR = 3, 0.75, 0.35
 LANDMARKS = 40
@@ -300,24 +301,15 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, id_col
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                yield part.drop(columns="text").assign(score=score(list(part["text"]), model))
-
-    return rows.mapInPandas(run, rows.drop("text").schema.add("score", "double"))
+    return per_text(rows, {"score": "double"}, lambda texts: (score(texts, model),))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = TOXIC) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, with all their columns."""
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 texts = ["" if t is None else str(t) for t in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(score(texts, model) < threshold))
 
