@@ -53,8 +53,6 @@ def _next_level(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
     long = length > 1
     names[long] = _mixed(names[long] * np.uint64(3) + length[long].astype(np.uint64))
     n = len(names)
-    if n < 2:
-        return names, owner
     start = np.r_[True, owner[1:] != owner[:-1]]
     label = np.empty(n, np.uint8)
     label[0] = 0
