@@ -13,6 +13,7 @@ no rows; a document of any length is cut freely; other columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from geoloom.llm.common import materialise, per_text, text_or_empty
 LENGTH = 2048
 END = 1
 DIMS, DEPTH = 4, 12  # numbers in a vector and bits of each on the curve
-CACHE = 800_000  # words whose ids a worker remembers
-MARKS = ".,;:!?"
+CACHE = 1_000_000  # words whose ids a worker remembers
+MARKS = string.punctuation.replace("'", "")  # a run of these after letters is encoded on its own; "'" may begin a suffix
 _known: dict[str, dict] = {}
 
 
@@ -37,8 +38,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def kind_of(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, the same as of the whole text. The tokenizer drops white space,
+    """Token ids as bytes (of numpy type ``kind``, as short as the vocabulary lets it be), the same as of the whole text. The tokenizer drops white space,
     never joins across it, and ends each run of letters with a token of its own kind; so texts are cut at white space,
     new words are encoded many in a row, and words that were seen are not encoded again."""
 
@@ -47,46 +52,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = kind_of(max(vocabulary.values()) + 1)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.signs = signs(np.arange(len(self.last)))
         self.ids: dict[str, bytes] = {}
 
     def one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def in_a_row(self, words: list[str]) -> list[bytes]:
         """Ids of words that are letters only, each of which ends with one last token; if the count differs, one by one."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             return self.one_by_one(words)
-        data, ends = ids.tobytes(), (4 * ends).tolist()
+        data, ends = ids.tobytes(), (ids.itemsize * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, words: set[str]) -> None:
         ids = self.ids
-        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
-        plain = {w for w in words if w.isalpha()}.union(w[:-1] for w in marked if w[:-1] not in ids)
-        plain = list(plain)
+        plain, marked, rest = [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif (stem := w.rstrip(MARKS)).isalpha():
+                marked.append((w, stem, w[len(stem) :]))
+            else:
+                rest.append(w)
+        plain = list(set(plain).union(stem for _, stem, _ in marked if stem not in ids))
         for i in range(0, len(plain), 500):
             ids.update(zip(plain[i : i + 500], self.in_a_row(plain[i : i + 500]), strict=True))
-        ids.update((w, ids[w[:-1]] + ids[w[-1]]) for w in marked)
-        rest = [w for w in words if w not in ids]
+        rest += {m for _, _, m in marked if m not in ids and m not in words}
         ids.update(zip(rest, self.one_by_one(rest), strict=True))
+        ids.update((w, ids[stem] + ids[m]) for w, stem, m in marked)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.ids) > CACHE:
             self.ids.clear()
-        if not self.ids:
-            self.ids.update(zip(MARKS, self.one_by_one(list(MARKS)), strict=True))
         new = set().union(*cut).difference(self.ids)
         self.learn(new)
         out = [b"".join(map(self.ids.__getitem__, words)) for words in cut]
-        for w in new:
-            if len(w) > 64:
-                del self.ids[w]
+        for w in [w for w in self.ids.keys() & new if len(w) > 64]:
+            del self.ids[w]
         return out
 
 
@@ -139,12 +148,12 @@ def curve_key(sums: np.ndarray) -> np.ndarray:
 def tokens(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """doc_id, curve (key), n, ids (binary, the end id included)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    end = np.array([END], "<u4").tobytes()
 
     def run(texts: list[str]) -> tuple:
         encode = encoder(path)
-        ids = [x + end for x in encode(texts)]
-        return curve_key(np.array([encode.signs[np.frombuffer(x, "<u4")].sum(axis=0) for x in ids])), [len(x) // 4 for x in ids], ids
+        end = np.array([END], encode.kind).tobytes()
+        ids = [np.frombuffer(x + end, encode.kind) for x in encode(texts)]
+        return curve_key(np.array([encode.signs[x].sum(axis=0) for x in ids])), [len(x) for x in ids], [x.tobytes() for x in ids]
 
     return per_text(rows, {"curve": "long", "n": "long", "ids": "binary"}, run)
 
@@ -193,7 +202,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 out, whose = [], []
-                for i, (n, ids, first) in enumerate(zip(*(part.column(c).to_pylist() for c in ("n", "ids", "first")), strict=True)):
+                for i, (n, raw, first) in enumerate(zip(*(part.column(c).to_pylist() for c in ("n", "ids", "first")), strict=True)):
+                    ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
                     for start, size, seq, offset in cuts(first, n, total, length):
                         piece = ids[4 * start : 4 * (start + size)]
                         out.append((start, size, zlib.crc32(piece), n, seq, offset, piece))
