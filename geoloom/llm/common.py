@@ -45,11 +45,19 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: fewer rows in an Arrow batch than Spark's 10,000, unless the session was set otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def per_text(rows: DataFrame, made: dict[str, str], f: Callable[[list[str]], tuple], size: int = 256) -> DataFrame:
     """rows with a column ``text`` -> the other columns and those that f makes of ``size`` texts at a time."""
+    short_batches(rows.sparkSession)
     keep = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

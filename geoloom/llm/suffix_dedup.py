@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import discard, materialise, text_or_empty
+from geoloom.llm.common import discard, materialise, short_batches, text_or_empty
 
 LENGTH = 200
 GRAM = 48
@@ -233,6 +233,7 @@ def _suffix_step(texts: DataFrame, length: int) -> DataFrame:
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
     """(doc, t1, t2, starts): for documents with any, the spans of starts whose strings go."""
+    short_batches(docs.sparkSession)
     rows = _identified(docs, id_col, text_col)
     scanned = materialise(_scan(rows, length, gram), "pieces")
     found = scanned.where("g is not null").select("g", "p", "doc", "row", F.col("at").cast("int").alias("at"), "n")

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, per_text, text_or_empty
+from geoloom.llm.common import materialise, per_text, short_batches, text_or_empty
 
 ORDER, DECAY, FLOOR = 3, 0.75, 0.35
 LANDMARKS = 40
-STEMS, SPARE = range(4, 11), 3  # letters of a stem; letters of a word beyond them that count
+STEMS, SPARE = range(4, 10), 3  # letters of a stem; letters of a word beyond them that count
 WINDOW = 24  # letters of a longer unit that are looked at together, half of them in the next window too
-MAX_DOCS, MAX_SENTENCES, MAX_UNITS = 2000, 1500, 40_000
-CACHE = 600_000
+MAX_DOCS, MAX_SENTENCES, MAX_UNITS = 1000, 1500, 40_000
+CACHE = 150_000
 TOXIC = 0.5
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
 
@@ -234,13 +234,16 @@ def logistic(found: np.ndarray, y: np.ndarray, share: float) -> tuple[float, flo
 def stems(units: DataFrame, some: int, none: int) -> list[str]:
     """units (id, y, unit): the landmarks. At most 500 candidates with their at most ``max_docs`` documents are collected."""
     starts = F.array_distinct(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(F.length("unit") >= n, F.substring(F.col("unit"), 1, n))))
-    counts = units.select("id", "y", F.explode(starts).alias("stem")).where("stem is not null").groupBy("stem").agg(
-        F.count_distinct(F.when(F.col("y") == 1, F.col("id"))).alias("t"), F.count_distinct(F.when(F.col("y") == 0, F.col("id"))).alias("c"), F.collect_set(F.when(F.col("y") == 1, F.col("id"))).alias("ids")
-    )
+    pairs = units.select("id", "y", F.explode(starts).alias("stem")).where("stem is not null").distinct()
+    counts = pairs.groupBy("stem").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (some + 1)) - F.log((F.col("c") + 0.5) / (none + 1))
     best = counts.where((F.col("t") >= max(2, some // 200)) & (odds > np.log(4))).orderBy((F.col("t") * odds).desc(), "stem").limit(500).collect()
+    if not best:
+        return []
+    where = pairs.where(F.col("stem").isin([r["stem"] for r in best]) & (F.col("y") == 1)).groupBy("stem").agg(F.collect_list("id").alias("ids"))
+    ids = {r["stem"]: set(r["ids"]) for r in where.collect()}
     gain = {r["stem"]: float(np.log((r["t"] + 0.5) / (some + 1)) - np.log((r["c"] + 0.5) / (none + 1))) for r in best}
-    left, out = {r["stem"]: set(r["ids"]) for r in best}, []
+    left, out = dict(ids), []
     seen: dict[int, int] = {}
     while left and len(out) < LANDMARKS:  # a document is worth half as much each time it is met
         worth = {s: gain[s] * sum(0.5 ** seen.get(i, 0) for i in ids) for s, ids in left.items()}
@@ -306,6 +309,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = TOXIC) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, with all their columns."""
+    short_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
