@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import exact_dedup, fingerprints, packing, quality, simhash, suffix_dedup, toxicity
+from geoloom.llm import exact_dedup, fingerprints, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from geoloom.llm.common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pieces, byte pieces, CRC-32 of the ids, digest of what they decode to."""
+    coded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", "n_pieces", "n_bytes", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~_held_out(5, 0))
@@ -48,7 +55,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op7_toxicity, op9_simhash)}
+ARRIVALS = 4
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in ARRIVALS arrivals by a hash of their id, compacted; per document its digest and shard's version."""
+    docs, store = _table(spark, sf_dir, "documents"), scratch(spark, "store")
+    for k in range(ARRIVALS):
+        sharding.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k), store)
+    sharding.compact(spark, store)
+    listed = sharding.manifest(spark, store).select("shard", "n_rows", "added")
+    rows = sharding.read(spark, store).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_path").alias("shard"))
+    return rows.join(F.broadcast(listed), "shard").select("doc_id", "text_sha256", F.element_at(F.split("shard", "/"), -1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("added").alias("shard_version"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op9_simhash, op10_sharding)}
 
 ORACLE = {
     "op3_exact_dedup": """
