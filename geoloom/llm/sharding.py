@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 FAN = 4
 TARGET = 128 << 20
 SMALLEST = 64 << 10
+AT_ONCE = 100  # new files that one job writes
 ENTRY = "shard string, n_rows long, n_bytes long, added int"
 
 
@@ -91,7 +93,7 @@ def merges(sizes: dict[str, int], target: int = TARGET, fan: int = FAN) -> dict[
 
 
 def compact(spark: SparkSession, store: str, target: int = TARGET, fan: int = FAN) -> int | None:
-    """Merge what is due in one job; the new version, or None if nothing was due. Shard names and sizes pass the driver."""
+    """Merge what is due; the new version, or None if nothing was due. Shard names and sizes pass the driver."""
     known = versions(spark, store)
     if not known:
         return None
@@ -100,12 +102,17 @@ def compact(spark: SparkSession, store: str, target: int = TARGET, fan: int = FA
     if not plan:
         return None
     version, path = known[-1] + 1, f"{store}/shards/{uuid.uuid4().hex}"
-    into = spark.createDataFrame(list(plan.items()), "__shard string, __file int")  # a row for each small shard
-    rows = spark.read.parquet(*plan)
-    moved = rows.withColumn("__shard", F.col("_metadata.file_path")).join(into, "__shard").drop("__shard")
-    moved.repartition(max(plan.values()) + 1, "__file").write.partitionBy("__file").option("compression", "zstd").parquet(path)
-    new = _described(spark.read.schema(rows.schema).parquet(path), version)
-    commit(now.join(into, now["shard"] == into["__shard"], "left_anti").unionByName(new), store, version)
+    groups: dict[int, list[str]] = {}
+    for shard, number in plan.items():
+        groups.setdefault(number, []).append(shard)
+    schema = spark.read.parquet(*plan).schema
+    merged = list(groups.values())
+    for at in range(0, len(merged), AT_ONCE):  # a task reads the shards of one new file one after another: no shuffle
+        parts = [spark.read.schema(schema).parquet(*shards).coalesce(1) for shards in merged[at : at + AT_ONCE]]
+        reduce(DataFrame.union, parts).write.mode("append").option("compression", "zstd").parquet(path)
+    new = _described(spark.read.schema(schema).parquet(path), version)
+    old = spark.createDataFrame([(shard,) for shard in plan], "shard string")
+    commit(now.join(old, "shard", "left_anti").unionByName(new), store, version)
     return version
 
 
