@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import exact_dedup, fingerprints, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from geoloom.llm import exact_dedup, fingerprints, line_dedup, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 from geoloom.llm.common import scratch
 
 
@@ -51,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(listed, "shard").select("doc_id", "text_sha256", F.element_at(F.split("shard", "/"), -1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("added").alias("shard_version"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op9_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op8_line_dedup, op9_simhash, op10_sharding)}
 
 ORACLE = {
     "op3_exact_dedup": """
