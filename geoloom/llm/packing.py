@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +43,11 @@ def kind_of(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+def is_letters(word: str) -> bool:
+    """Whether the tokenizer's own form of the word is letters only (a few letters come apart into letter and accent)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Encoder:
     """Token ids as bytes (of numpy type ``kind``, as short as the vocabulary lets it be), the same as of the whole text. The tokenizer drops white space,
     never joins across it, and ends each run of letters with a token of its own kind; so texts are cut at white space,
@@ -76,7 +82,7 @@ class Encoder:
         for w in words:
             if w.isalpha():
                 plain.append(w)
-            elif (stem := w.rstrip(MARKS)).isalpha():
+            elif is_letters(stem := w.rstrip(MARKS)):
                 marked.append((w, stem, w[len(stem) :]))
             else:
                 rest.append(w)

@@ -85,6 +85,8 @@ def self_kernel(rows: np.ndarray) -> np.ndarray:
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised K of words at landmarks; pairs that share too few different letters are zero at once."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
+    if not words or not landmarks:
+        return out
     letters = np.unique(as_rows(["".join(landmarks)], sum(map(len, landmarks))))[:62]
     for size in sorted(set(map(len, landmarks))):
         at = np.array([j for j, m in enumerate(landmarks) if len(m) == size])
