@@ -35,9 +35,9 @@ from geoloom.llm.common import discard, materialise, short_batches, text_or_empt
 
 LENGTH = 200
 GRAM = 48
-CHUNK = 1 << 20  # bytes hashed together
-ORDERED = 1 << 21  # bytes put in suffix order together, whole grams at a time
-_LOW = 21  # bits for a place in a chunk
+CHUNK = 1 << 19  # bytes hashed together
+ORDERED = 1 << 20  # bytes put in suffix order together, whole grams at a time
+_LOW = 20  # bits for a place in a chunk
 _BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
 
