@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 ZONE_CELL = 100.0
 
 
@@ -50,3 +49,30 @@ def zonal(zones: DataFrame, points: DataFrame) -> DataFrame:
     at = points.select("x", "y", "z", cx.alias("_cx"), cy.alias("_cy"))
     inside = (F.col("x") >= F.col("xmin")) & (F.col("x") <= F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") <= F.col("ymax"))
     return at.join(cells, ["_cx", "_cy"]).where(inside).groupBy("zone_id").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.avg("z").alias("zmean"))
+
+
+def _node(x0: float, y1: float, gsd: float) -> tuple:
+    """Column and row of the nearest node of a grid with its first node at (x0, y1)."""
+    return F.floor((F.col("x") - x0) / gsd + 0.5).alias("col"), F.floor((y1 - F.col("y")) / gsd + 0.5).alias("row_")
+
+
+def delta_to_grid(features: DataFrame, nodes: DataFrame, x0: float, y1: float, gsd: float, least: float) -> DataFrame:
+    """Features whose height is ``least`` or more off the grid's; heights of -99 and less are none."""
+    at = features.where("z > -99").select("feature_id", "class", "z", *_node(x0, y1, gsd))
+    ground = nodes.where("z > -99").select("col", "row_", F.col("z").alias("ground"))
+    return at.join(ground, ["col", "row_"]).where(F.abs(F.col("ground") - F.col("z")) >= least).select("feature_id", "class", (F.col("z") - F.col("ground")).alias("delta"))
+
+
+def first_height(features: DataFrame, stack: DataFrame, x0: float, y1: float, gsd: float) -> DataFrame:
+    """stack (dtm, col, row_, z): each feature's height in the first grid that has one there, else null."""
+    first = stack.where("z is not null").groupBy("col", "row_").agg(F.min_by("z", "dtm").alias("z"))
+    return features.select("feature_id", *_node(x0, y1, gsd)).join(first, ["col", "row_"], "left").select("feature_id", "z")
+
+
+def touching(zones: DataFrame) -> DataFrame:
+    """Pairs (zone_id, other) of frames that touch. Frames meet in cells of ZONE_CELL; the test is then exact."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / ZONE_CELL), F.floor(F.col(hi) / ZONE_CELL)))
+    cells = zones.select("zone_id", "xmin", "ymin", "xmax", "ymax").withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
+    other = cells.select(*(F.col(c).alias(f"{c}2") if c[0] != "_" else F.col(c) for c in cells.columns))
+    met = (F.col("zone_id") != F.col("zone_id2")) & (F.col("xmin") <= F.col("xmax2")) & (F.col("xmax") >= F.col("xmin2")) & (F.col("ymin") <= F.col("ymax2")) & (F.col("ymax") >= F.col("ymin2"))
+    return cells.join(other, ["_cx", "_cy"]).where(met).select("zone_id", F.col("zone_id2").alias("other")).distinct()

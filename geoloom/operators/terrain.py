@@ -51,3 +51,16 @@ def affinity(pairs: DataFrame) -> DataFrame:
     a, b = [(F.col(f"x{t}") * F.col("vy") - F.col(f"y{t}") * F.col("vxy")) / det for t in ("x2", "y2")], [(F.col(f"y{t}") * F.col("vx") - F.col(f"x{t}") * F.col("vxy")) / det for t in ("x2", "y2")]
     c = [F.col(f"m{t}") - p * F.col("mx") - q * F.col("my") for t, p, q in zip(("x2", "y2"), a, b, strict=True)]
     return s.select(a[0].alias("a"), b[0].alias("b"), c[0].alias("c"), a[1].alias("d"), b[1].alias("e"), c[1].alias("f"))
+
+
+def difference(nodes: DataFrame, other: DataFrame) -> DataFrame:
+    """Height of one grid less another's, where both have a node."""
+    return nodes.select("row_", "col", "z").join(other.select("row_", "col", F.col("z").alias("_z")), ["row_", "col"]).select("row_", "col", (F.col("z") - F.col("_z")).alias("diff"))
+
+
+def slopes(tracks: DataFrame) -> DataFrame:
+    """Run, rise and slope from each vertex to the next; no slope where the run is zero."""
+    order = Window.partitionBy("track_id").orderBy("seq")
+    dx, dy, dz = (F.lead(c).over(order) - F.col(c) for c in "xyz")
+    legs = tracks.select("track_id", "seq", F.sqrt(dx * dx + dy * dy).alias("run"), dz.alias("rise")).where("run is not null")
+    return legs.withColumn("slope", F.when(F.col("run") > 0, F.col("rise") / F.col("run")))

@@ -9,43 +9,13 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators import nearest, pointcloud, raster, selection, terrain
-from geoloom.plans.views import view, with_views
+from geoloom.plans.registry import ORACLE, QUERIES, inside, r6, register, rint
 
 FRAME = G.Frame(650200.0, 6860100.0, 650700.0, 6860600.0)
 RING = [(650100.0, 6860100.0), (650300.0, 6860900.0), (650900.0, 6860700.0), (650600.0, 6860050.0), (650100.0, 6860100.0)]
 STYLE = ["all", ["in", "kind", "click", "view"], ["!=", "k", "7"], ["==", "missing", "x"]]
 GSD = 50.0
 
-QUERIES, ORACLE = {}, {}
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def register(*views: str, sql: str):
-    """A query over views; the function gets them as DataFrames. Doubles are rounded to six places."""
-
-    def wrap(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(*(view(spark, sf_dir, v) for v in views)))
-        ORACLE[f.__name__] = with_views(sql)
-        return f
-
-    return wrap
-
-
-def r6(columns: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c.split('.')[-1]}" for c in columns.split())
-
-
-def rint(e: str) -> str:
-    return f"CAST(CASE WHEN {e} - floor({e}) < 5e-1 THEN floor({e}) ELSE ceil({e}) END AS BIGINT)"
-
-
-def inside(f: G.Frame, x: str = "x", y: str = "y") -> str:
-    return f"{x} >= {f.xmin} AND {x} <= {f.xmax} AND {y} >= {f.ymin} AND {y} <= {f.ymax}"
-
-
 CELLS = f"""
     + ext AS (SELECT floor(min(x)/5e1)*5e1 x0, ceil(max(y)/5e1)*5e1 y1, ceil(max(x)/5e1)*5e1 x1, floor(min(y)/5e1)*5e1 y0 FROM las_points WHERE classification IN (1,2,3)),
     cells AS (SELECT * FROM (SELECT p.*, {rint("((x - x0) / 5e1)")} u, {rint("((y1 - y) / 5e1)")} v, x0, y0, x1, y1 FROM las_points p, ext WHERE classification IN (1,2,3)) WHERE u < (x1 - x0) / 5e1 AND v < (y1 - y0) / 5e1)"""
@@ -252,3 +222,5 @@ def style_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["style_filter"] = style_filter
 ORACLE["style_filter"] = "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND coalesce(json_extract_string(props, '$.k') <> '7', true)"
+
+from geoloom.plans import line_queries  # noqa: E402, F401 - registers its queries
