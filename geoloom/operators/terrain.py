@@ -64,3 +64,13 @@ def slopes(tracks: DataFrame) -> DataFrame:
     dx, dy, dz = (F.lead(c).over(order) - F.col(c) for c in "xyz")
     legs = tracks.select("track_id", "seq", F.sqrt(dx * dx + dy * dy).alias("run"), dz.alias("rise")).where("run is not null")
     return legs.withColumn("slope", F.when(F.col("run") > 0, F.col("rise") / F.col("run")))
+
+
+def bilinear(features: DataFrame, nodes: DataFrame, x0: float, y1: float, gsd: float) -> DataFrame:
+    """Between the four nodes around each feature: weights go to the nodes, so one equi-join and one sum do it; no row unless all four are there."""
+    u, v = (F.col("x") - x0) / gsd, (y1 - F.col("y")) / gsd
+    at = features.select("feature_id", F.floor(u).alias("c"), F.floor(v).alias("r"), (u - F.floor(u)).alias("a"), (v - F.floor(v)).alias("b"))
+    corner = [F.struct((F.col("c") + i).alias("col"), (F.col("r") + j).alias("row_"), ((F.col("a") if i else 1 - F.col("a")) * (F.col("b") if j else 1 - F.col("b"))).alias("w")) for i in (0, 1) for j in (0, 1)]
+    four = at.select("feature_id", F.explode(F.array(*corner)).alias("k")).select("feature_id", "k.col", "k.row_", "k.w")
+    met = four.join(nodes.select("col", "row_", "z"), ["col", "row_"]).groupBy("feature_id").agg(F.sum(F.col("w") * F.col("z")).alias("shift"), F.count("*").alias("n"))
+    return met.where("n = 4").select("feature_id", "shift")

@@ -34,11 +34,16 @@ VIEWS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, columns = VIEWS[name]
+    """A view, or a table as it is."""
+    table, columns = VIEWS.get(name, (name, ["*"]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
 
 
 def with_views(sql: str) -> str:
     """``sql`` with the views that it names before it."""
     used = [f"{name} AS (SELECT {', '.join(columns)} FROM {table})" for name, (table, columns) in VIEWS.items() if name in sql]
-    return f"WITH {', '.join(used)}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().lstrip('+')}"
+    body = sql.lstrip()
+    more = body.startswith("+")  # the text goes on the list
+    if not used and not more:
+        return body
+    return f"WITH {', '.join(used)}{',' if more and used else ''} {body.lstrip('+')}"

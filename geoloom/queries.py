@@ -223,4 +223,4 @@ def style_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["style_filter"] = style_filter
 ORACLE["style_filter"] = "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND coalesce(json_extract_string(props, '$.k') <> '7', true)"
 
-from geoloom.plans import line_queries  # noqa: E402, F401 - registers its queries
+from geoloom.plans import line_queries, scalar_queries  # noqa: E402, F401 - they register their queries
