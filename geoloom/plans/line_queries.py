@@ -36,7 +36,7 @@ def in_ring_sql(x: str = "x", y: str = "y") -> str:
 
 @register("las_points", sql=SEG + """, e AS (SELECT *, coalesce(x2, x0) xn, coalesce(y2, y0) yn FROM s)
     SELECT id, count(*) n, round(sum(coalesce(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)),0)),6) length, round(sum(coalesce(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)+(z2-z)*(z2-z)),0)),6) length3d,
-    round(sum((xn-x)*(yn-y0+y-y0)/2),6) area, round(sqrt(sum(coalesce((x2-x)*(x2-x)+(y2-y)*(y2-y),0))),6) edges, round(avg(x),6) cx, round(avg(y),6) cy FROM e GROUP BY id""")
+    round(sum((xn-x)*(yn-y0+y-y0)/2),6)+0e0 area, round(sqrt(sum(coalesce((x2-x)*(x2-x)+(y2-y)*(y2-y),0))),6) edges, round(avg(x),6) cx, round(avg(y),6) cy FROM e GROUP BY id""")
 def line_measures(points):
     return lines.measures(lines.build(points))
 
@@ -76,9 +76,9 @@ def find_connection(points, features):
 
 
 @register("las_points", sql=SEG + """, d AS (SELECT *, sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)) d FROM s WHERE x2 IS NOT NULL), n AS (SELECT *, CAST(floor(d/25e0+5e-1) AS INT) n, row_number() OVER (PARTITION BY id ORDER BY k, x, y, z) sk FROM d WHERE d >= 25),
-    p AS (SELECT id, sk, j, n, x+(x2-x)*j/n x, y+(y2-y)*j/n y FROM (SELECT *, unnest(range(0, n)) j FROM n)) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY sk, j) - 1 AS INT) k, round(x,6) x, round(y,6) y FROM p""")
+    p AS (SELECT id, sk, j, n, x+(x2-x)*j/n x, y+(y2-y)*j/n y FROM (SELECT *, unnest(range(0, n)) j FROM n)) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY sk, j) - 1 AS INT) k, round(x+1e-9,6) x, round(y+1e-9,6) y FROM p""")
 def sample_line(points):
-    return lines.sample(lines.build(points), 25.0)
+    return lines.sample(lines.build(points), 25.0).withColumns({c: F.col(c) + 1e-9 for c in "xy"})  # a half at the seventh place rounds up on both sides
 
 
 @register("las_points", sql=V + "sized AS (SELECT id, max(x)-min(x)+max(y)-min(y) size FROM v GROUP BY 1) SELECT id, round(size,6) size FROM sized ORDER BY size DESC, id LIMIT 20")

@@ -33,7 +33,7 @@ def vector_math(features):
 ANGLES = "+ w AS (SELECT feature_id, (feature_id % 100) / 1e2 o, (feature_id % 90) / 1e2 p, (feature_id % 300) / 1e2 k FROM pt_features) "
 
 
-@register("pt_features", sql=ANGLES + """SELECT feature_id, round(cos(p)*cos(k),6) m00, round(-cos(p)*sin(k),6) m01, round(cos(o)*sin(k)+sin(o)*sin(p)*cos(k),6) m10, round(cos(o)*cos(p),6) m22,
+@register("pt_features", sql=ANGLES + """SELECT feature_id, round(cos(p)*cos(k),6) m00, round(-cos(p)*sin(k),6)+0e0 m01, round(cos(o)*sin(k)+sin(o)*sin(p)*cos(k),6) m10, round(cos(o)*cos(p),6) m22,
     round(o,6) omega, round(p,6) phi, round(k,6) kappa, round(CASE WHEN 90-degrees(k) < 0 THEN 450-degrees(k) ELSE 90-degrees(k) END,6) heading FROM w""")
 def rotations(features):
     o, p, k = (((F.col("feature_id") % n) / 100.0) for n in (100, 90, 300))

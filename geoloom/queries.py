@@ -207,7 +207,7 @@ def elevation_tiles(pixels):
 LON, LAT = "((feature_id * 37) % 3600) / 1e1 - 180", "((feature_id * 13) % 1600) / 1e1 - 80"
 
 
-@register("pt_features", sql=f"+ m AS (SELECT feature_id, radians({LON})*6378137e0 mx, ln(tan(radians({LAT})/2 + pi()/4))*6378137e0 my FROM pt_features) SELECT feature_id, round(mx, 3) mx, round(my, 3) my, round(degrees(mx/6378137e0), 6) lon, round(degrees(2*atan(exp(my/6378137e0)) - pi()/2), 6) lat, CAST(floor((1+mx/(pi()*6378137e0))/2*4096) AS BIGINT) tile_x, CAST(floor((1-my/(pi()*6378137e0))/2*4096) AS BIGINT) tile_y FROM m")
+@register("pt_features", sql=f"+ m AS (SELECT feature_id, radians({LON})*6378137e0 mx, ln(tan(radians({LAT})/2 + pi()/4))*6378137e0 my FROM pt_features) SELECT feature_id, round(mx, 3) mx, round(my, 3) + 0e0 my, round(degrees(mx/6378137e0), 6) lon, round(degrees(2*atan(exp(my/6378137e0)) - pi()/2), 6) + 0e0 lat, CAST(floor((1+mx/(pi()*6378137e0))/2*4096) AS BIGINT) tile_x, CAST(floor((1-my/(pi()*6378137e0))/2*4096) AS BIGINT) tile_y FROM m")
 def mercator_tiles(features):
     mx, my = G.mercator(F.expr(LON), F.expr(LAT))
     m = features.select("feature_id", mx.alias("mx"), my.alias("my"))
