@@ -1,5 +1,8 @@
+import random
+import re
+
 import corpus_pipeline
-from geoloom.llm import toxicity
+from geoloom.llm import similar, toxicity
 
 
 def test_pipeline(spark):
@@ -20,3 +23,52 @@ def test_toxic_documents_go(spark):
     kept = toxicity.reject(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
     clean = labels.where("toxic = 0").count()
     assert kept.where("toxic = 0").count() > 0.98 * clean
+
+
+def _plain_kept(rows):
+    """Brute force: of components of texts with a five-word Jaccard of at least 0.8 the smallest doc_id."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return sorted(least.values())
+
+
+def test_near_copies_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passage = rng.choices(vocabulary, k=60)
+    bases = [rng.choices(vocabulary, k=rng.randint(3, 150)) for _ in range(25)]
+    texts = ["", " ", None, "one two", "One  two"]
+    for k in range(250):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randint(0, max(1, len(words) // 30))):  # similarities on both sides of 0.8
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join([*words, *(passage if k % 5 == 0 else [])]))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = _plain_kept(rows)
+    assert len(want) < 200 and sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_near_copies_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == _plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert similar.keep_one(docs.where("false")).count() == 0
