@@ -3,15 +3,16 @@
 A unit is a word's letters, or a run of single letters put together, in lower case. K(s, t) sums over common
 subsequences of ORDER letters, each letter or gap that they span costing a factor DECAY (Lodhi et al., 2002), and is
 normalised, so an insult with inserted or dropped letters stays close to the plain one. Landmarks are stems (starts of
-words) that mark toxic training documents, picked greedily so that each adds documents the others miss; a word is held
-against a landmark by as many first letters as the landmark has and SPARE more, so endings don't matter. A sentence's
+words) that mark toxic training documents, picked greedily so that each adds documents the others miss; a unit is held
+against a landmark in windows of as many letters as the landmark has and SPARE more, every SPARE letters from its start
+to its end, and the largest value counts, so neither what stands before an insult nor endings matter. A sentence's
 feature is its largest kernel value at each landmark (values under FLOOR count as zero), put through the inverse square
 root of the landmarks' own kernel matrix; a linear machine with squared hinge loss is trained on labelled sentences. A
 document's score is a logistic curve of its most toxic sentence's margin and of the share of toxic sentences to words.
 
 Training takes a bounded sample: at most ``max_docs`` labelled documents of each class in order of a hash of their id,
-MAX_SENTENCES sentences of each class and MAX_UNITS units of them. Scoring reads every whole text; very long words are
-read in overlapping windows.
+MAX_SENTENCES sentences of each class and MAX_UNITS units of them of at most LONGEST letters. Scoring reads every whole
+text and every letter of its units.
 
 Defined cases: null and empty texts score as a document without units; a null doc_id is scored and is in no training
 fold; repeated rows score alike; without a labelled document of both classes every score is the share of toxic labels
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,16 +36,17 @@ from geoloom.llm.common import materialise, per_text, short_batches, text_or_emp
 
 ORDER, DECAY, FLOOR = 3, 0.75, 0.35
 LANDMARKS = 40
-STEMS, SPARE = range(4, 10), 3  # letters of a stem; letters of a word beyond them that count
-WINDOW = 24  # letters of a longer unit that are looked at together, half of them in the next window too
+STEMS, SPARE = range(4, 10), 3  # letters of a stem; letters beyond them in a window, and from one window to the next
+LONGEST = 24  # letters of a unit that is learned from
 MAX_DOCS, MAX_SENTENCES, MAX_UNITS = 1000, 1500, 40_000
 CACHE = 150_000
 TOXIC = 0.5
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
 
 
-def windows(unit: str) -> list[str]:
-    return [unit] if len(unit) <= WINDOW else [unit[i : i + WINDOW] for i in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
+def windows(unit: str, width: int) -> list[str]:
+    """Every place's next ``width - SPARE`` letters stand in one of the windows."""
+    return [unit] if len(unit) <= width else [unit[i : i + width] for i in range(0, len(unit) - width + SPARE, SPARE)]
 
 
 def as_rows(texts: list[str], width: int) -> np.ndarray:
@@ -51,12 +54,6 @@ def as_rows(texts: list[str], width: int) -> np.ndarray:
     return np.array(texts, f"<U{width}").view(np.int32).reshape(len(texts), width)
 
 
-def letter_bits(rows: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """For each row the set of those of up to 62 sorted letters that it has."""
-    at = np.minimum(np.searchsorted(letters, rows), len(letters) - 1)
-    return np.bitwise_or.reduce(np.where(letters[at] == rows, np.int64(1) << at, 0), axis=1)
-
-
 def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """K for rows of s against the same rows of t (code points padded with zeros)."""
     n, width = t.shape
@@ -82,19 +79,39 @@ def self_kernel(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([subsequence_kernel(r, r) for r in np.array_split(rows, len(rows) // 8192 + 1)])
 
 
+@lru_cache(1024)
+def reachable(landmark: str) -> tuple[str, np.ndarray]:
+    """A landmark's different letters, and for each set of them (as bits) whether a text that has only these can come to FLOOR.
+
+    K(s, t) is a product of vectors; what s lacks counts for nothing, so normalised K is at most the share of t's length that is left.
+    """
+    letters = "".join(sorted(set(landmark)))
+    bits = np.array([letters.index(c) for c in landmark])
+    has = (np.arange(1 << len(letters))[:, None] >> bits & 1).astype(bool)
+    code = np.array([ord(c) for c in landmark], np.int32)
+    left = subsequence_kernel(np.where(has, code, -1), np.where(has, code, -2))  # -1 and -2 match nothing
+    return letters, left >= (FLOOR * 0.999) ** 2 * left[-1]
+
+
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised K of words at landmarks; pairs that share too few different letters are zero at once."""
+    """Normalised K of words at landmarks, the largest of a word's windows; pairs whose letters cannot come to FLOOR are zero at once."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     if not words or not landmarks:
         return out
-    letters = np.unique(as_rows(["".join(landmarks)], sum(map(len, landmarks))))[:62]
     for size in sorted(set(map(len, landmarks))):
         at = np.array([j for j, m in enumerate(landmarks) if len(m) == size])
         heads: dict[str, int] = {}
-        back = np.array([heads.setdefault(w[: size + SPARE], len(heads)) for w in words], np.int64)
+        parts = [windows(w, size + SPARE) for w in words]
+        back = np.array([heads.setdefault(p, len(heads)) for ps in parts for p in ps], np.int64)
         rows, marked = as_rows(list(heads), size + SPARE), as_rows([landmarks[j] for j in at], size)
-        marks = letter_bits(marked, letters)
-        a, b = np.nonzero(np.bitwise_count(letter_bits(rows, letters)[:, None] & marks) >= np.maximum(ORDER, np.bitwise_count(marks) - 1))
+        known = [reachable(landmarks[j]) for j in at]
+        letters = sorted(set("".join(ls for ls, _ in known)))
+        has = np.stack([(rows == ord(c)).any(axis=1) for c in letters], axis=1).astype(np.float32)
+        near = []
+        for ls, can in known:
+            bits = np.array([1 << ls.index(c) if c in ls else 0 for c in letters], np.float32)
+            near.append(can[(has @ bits).astype(np.int64)])
+        a, b = np.nonzero(np.stack(near, axis=1))
         if not len(a):
             continue
         used, place = np.unique(a, return_inverse=True)
@@ -103,7 +120,8 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
         for lo in range(0, len(a), 8192):
             k = slice(lo, lo + 8192)
             values[a[k], b[k]] = subsequence_kernel(rows[a[k]], marked[b[k]]) / np.sqrt(np.maximum(norms[place[k]] * mark_norms[b[k]], 1e-12))
-        out[:, at] = values[back]
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        out[:, at] = np.maximum.reduceat(values[back], starts, axis=0)
     out[out < FLOOR] = 0
     return out
 
@@ -138,14 +156,12 @@ class Kernels:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        parts = [(w, p) for w in new for p in windows(letters_of(w)) if len(p) >= STEMS[0]]
-        texts = list(dict.fromkeys(p for _, p in parts))
+        units = [(w, u) for w in new if len(u := letters_of(w)) >= STEMS[0]]
+        texts = list(dict.fromkeys(u for _, u in units))
         rows = kernel_rows(texts, self.landmarks)
         near = {t: rows[i] for i, t in enumerate(texts) if rows[i].any()}
         self.known.update(dict.fromkeys(new))
-        for w, p in parts:
-            if p in near:
-                self.known[w] = near[p] if self.known[w] is None else np.maximum(self.known[w], near[p])
+        self.known.update((w, near[u]) for w, u in units if u in near)
 
 
 @dataclass(frozen=True)
@@ -280,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, id_col
         return dull
     low = sample.select("id", "y", F.lower("text").alias("text"))
     word = F.regexp_replace(F.col("w"), r"[^\p{L}]", "")
-    units = low.select("id", "y", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).select("id", "y", word.alias("unit")).where(F.length("unit").between(STEMS[0], WINDOW))
+    units = low.select("id", "y", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).select("id", "y", word.alias("unit")).where(F.length("unit").between(STEMS[0], LONGEST))
     landmarks = stems(units, some, none)
     if not landmarks:
         return dull

@@ -309,6 +309,31 @@ def test_subsequence_kernel_brute_force():
     assert np.allclose(toxicity.subsequence_kernel(*rows), [plain(*p) for p in pairs], rtol=1e-4)
 
 
+def test_insults_inside_units():
+    marks = ["idiot", "aaab", "moronic"]
+    plain = toxicity.kernel_rows(["idiot", "moronic"], marks)
+    for before in range(12):
+        for after in (0, 3, 30):
+            unit = "xzqwvkxzqwvk"[:before] + "idiot" + "puhlbcsnymgfjerzwqkxvpuhlbcsny"[:after]
+            assert toxicity.kernel_rows([unit], marks)[0, 0] >= toxicity.FLOOR, unit
+    spelled = toxicity.units_of("you a r e a n i d i o t".split())[-1]
+    assert spelled == "areanidiot" and toxicity.kernel_rows([spelled, "x" * 200 + "moronic"], marks).max(axis=0)[[0, 2]].min() >= toxicity.FLOOR
+    assert plain[0, 0] == pytest.approx(1) and toxicity.kernel_rows(["aaab"], marks)[0, 1] == pytest.approx(1)  # two different letters
+
+
+def test_letter_filter_is_a_bound():
+    rng = random.Random(6)
+    marks = [*("".join(rng.choices("abcdefg", k=rng.randint(4, 9))) for _ in range(20)), *("".join(map(chr, range(300 + 9 * k, 309 + 9 * k))) for k in range(8))]
+    words = [*("".join(rng.choices("abcdefgh", k=rng.randint(4, 7))) for _ in range(300)), *marks]
+    found = toxicity.kernel_rows(words, marks)
+    for j, m in enumerate(marks):
+        for i, w in enumerate(words):
+            if len(w) <= len(m) + toxicity.SPARE:
+                s, t = (toxicity.as_rows([x], 12) for x in (w, m))
+                k = toxicity.subsequence_kernel(s, t) / np.sqrt(np.maximum(toxicity.self_kernel(s) * toxicity.self_kernel(t), 1e-12))
+                assert found[i, j] == pytest.approx(k[0] if k[0] >= toxicity.FLOOR else 0, abs=1e-4) or abs(k[0] - toxicity.FLOOR) < 1e-4
+
+
 def test_classifier_cases(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (6, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     empty = labels.where("false")
