@@ -437,6 +437,56 @@ def test_line_cases(spark, docs, none):
     assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(two).collect()} == {1: f"{line}\ny", 2: "x\n\n"}
 
 
+def _plain_lines(rows):
+    """Brute force: doc_id -> (lines that stay, dropped, near, places); exact classes of all lines, edit links by the shorter line's length."""
+    rows = sorted(rows)
+    places = [(i, pos, line) for i, t in rows for pos, line in enumerate(t.split("\n"))]
+    root = {line: line for _, _, line in places if line}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    used, linked = [x for x in root if len(x) >= 20], set()
+    for k, a in enumerate(used):
+        for b in used[:k]:
+            short = min(len(a), len(b))
+            edits = 1 if short < 100 else 2 if short < 200 else 3
+            if abs(len(a) - len(b)) <= edits and _distance(a, b) <= edits:
+                linked |= {a, b}
+                root[find(a)] = find(b)
+    seen, out = set(), {i: [[], 0, 0, []] for i, _ in rows}
+    for i, pos, line in places:
+        one = out[i]
+        gone = bool(line) and find(line) in seen
+        one[2] += line in linked
+        if line:
+            seen.add(find(line))
+            one[3].append((pos, find(line), gone))
+        if gone:
+            one[1] += 1
+        else:
+            one[0].append(line)
+    return out
+
+
+def test_drop_lines_brute_force(spark):
+    rng, pool = random.Random(8), ["ok", "page 1", "", "x"]
+    for n in (19, 20, 21, 60, 98, 99, 100, 101, 150, 199, 200, 203, 204, 260, 300):
+        base = "".join(rng.choices("abcd e", k=n))
+        for edits in (0, 1, 2, 3, 4):
+            s = list(base)
+            for _ in range(edits):
+                k, kind = rng.randrange(len(s)), rng.random()
+                s[k : k + 1] = [] if kind < 0.3 else ["X", s[k]] if kind < 0.6 else ["Y"]
+            pool.append("".join(s))
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 5)))) for i in range(60)]
+    want = _plain_lines(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(frame).collect()} == {i: "\n".join(w[0]) for i, w in want.items()}
+
+
 # --- sharding
 
 
