@@ -471,7 +471,7 @@ def _plain_lines(rows):
     return out
 
 
-def test_drop_lines_brute_force(spark):
+def test_line_report_brute_force(spark):
     rng, pool = random.Random(8), ["ok", "page 1", "", "x"]
     for n in (19, 20, 21, 60, 98, 99, 100, 101, 150, 199, 200, 203, 204, 260, 300):
         base = "".join(rng.choices("abcd e", k=n))
@@ -484,6 +484,15 @@ def test_drop_lines_brute_force(spark):
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 5)))) for i in range(60)]
     want = _plain_lines(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {}
+    for r in line_dedup.line_report(frame).collect():
+        kept, gone, near, places = want[r["doc_id"]]
+        text = "\n".join(kept)
+        assert (r["n_dropped"], r["n_near"], r["kept_chars"], r["kept_sha256"]) == (gone, near, len(text), hashlib.sha256(text.encode()).hexdigest())
+        assert [(x["pos"], x["dropped"]) for x in r["lines"]] == [(p, g) for p, _, g in places]
+        for x, (_, c, _) in zip(r["lines"], places, strict=True):
+            assert classes.setdefault(c, x["class_id"]) == x["class_id"]
+    assert len(set(classes.values())) == len(classes)
     assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(frame).collect()} == {i: "\n".join(w[0]) for i, w in want.items()}
 
 
