@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators import terrain
 
+KEPT = 10
 
 def find_attribute(features: DataFrame, name: str, column: str, value: str) -> DataFrame:
     """The first feature in display order of the class, whatever its letter case, whose attribute has the value."""
@@ -39,19 +40,23 @@ def base_frame(features: DataFrame) -> DataFrame:
     return f.select(low("x0").alias("xmin"), high("x1").alias("xmax"), low("y0").alias("ymin"), high("y1").alias("ymax"))
 
 
-def robust_affinity(pairs: DataFrame, worst: float = 3.0, rounds: int = 5) -> DataFrame:
+def robust_affinity(pairs: DataFrame, worst: float = 3.0) -> DataFrame:
     """A fit whose worst pair is left out while its residual is over ``worst`` times the mean; with n and the residuals' rms.
 
-    A round is one aggregate for the fit and one for its residuals; only these single rows reach the driver.
+    A round is one aggregate for the fit and one for its residuals; only these single rows reach the driver. Residuals that
+    are only rounding (1e-9 of the largest coordinate) end it too. Every KEPT rounds the pairs that are left are written.
     """
-    spark = pairs.sparkSession
-    for k in range(rounds + 1):
+    spark, k = pairs.sparkSession, 0
+    while True:
         fit = terrain.affinity(pairs).first()
         dx = F.col("x") * fit["a"] + F.col("y") * fit["b"] + fit["c"] - F.col("x2")
         dy = F.col("x") * fit["d"] + F.col("y") * fit["e"] + fit["f"] - F.col("y2")
         res = F.sqrt(dx * dx + dy * dy)
-        found = pairs.agg(F.max(res).alias("worst"), F.avg(res).alias("mean"), F.count("*").alias("n"), F.sqrt(F.avg(res * res)).alias("rms")).first()
-        if k == rounds or found["n"] <= 3 or found["worst"] <= worst * found["mean"]:
+        large = F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("x2"), F.abs("y2"))).alias("large")
+        found = pairs.agg(F.max(res).alias("worst"), F.avg(res).alias("mean"), F.count("*").alias("n"), F.sqrt(F.avg(res * res)).alias("rms"), large).first()
+        if found["n"] <= 3 or found["worst"] <= max(worst * found["mean"], 1e-9 * found["large"]):
             break
-        pairs = pairs.where(res < found["worst"])
+        pairs, k = pairs.where(res < found["worst"]), k + 1
+        if k % KEPT == 0:
+            pairs = pairs.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else pairs.localCheckpoint()
     return spark.createDataFrame([(*fit, found["n"], found["rms"])], "a double, b double, c double, d double, e double, f double, n long, rms double")

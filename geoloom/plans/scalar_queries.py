@@ -74,6 +74,17 @@ def robust_fit(points):
     return catalog.robust_affinity(good.unionByName(bad)).select(*(F.round(c, 4).alias(c) if t == "double" else c for c, t in (("a", "double"), ("b", "double"), ("c", "double"), ("d", "double"), ("e", "double"), ("f", "double"), ("n", "long"), ("rms", "double")))).replace(-0.0, 0.0)
 
 
+@register("las_points", sql="""+ p AS (SELECT x - 650000 x, y - 6860000 y, z FROM las_points) SELECT 2e0 a, -5e-1 b, 10e0 c, 25e-2 d, 3e0 e, -20e0 f, count(*) n, 0e0 rms FROM p""")
+def robust_fit_all(points):
+    """``robust_fit`` over all points, with twelve that were moved."""
+    x, y = F.col("x") - 650000, F.col("y") - 6860000
+    u, v = C.affine(x, y, (2.0, -0.5, 10.0, 0.25, 3.0, -20.0))
+    good = points.select(x.alias("x"), y.alias("y"), u.alias("x2"), v.alias("y2"))
+    bad = good.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select("x", "y", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k")).select("x", "y", (F.col("k") * 1e6).alias("x2"), (F.col("k") * -1e6).alias("y2"))
+    fit = catalog.robust_affinity(good.unionByName(bad))
+    return fit.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in fit.dtypes)).replace(-0.0, 0.0)
+
+
 LONLAT = "+ g AS (SELECT feature_id, 3 + ((feature_id * 37) % 80 - 40) / 1e1 lon, 465e-1 + ((feature_id * 13) % 80 - 40) / 1e1 lat FROM pt_features) "
 
 
