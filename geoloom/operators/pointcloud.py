@@ -34,12 +34,22 @@ def grid(points: DataFrame, gsd: float, by: list[str]) -> DataFrame:
     )
 
 
-def fill_holes(known: DataFrame, levels: int) -> DataFrame:
-    """known (u, v, z) -> all cells of its rectangle; holes get the mean of the smallest block of 2 ** k cells that has any.
+def raster(points: DataFrame, gsd: float) -> DataFrame:
+    """One row: the last cell (mu, mv) of the grid of ``cells``."""
+    side = lambda c: xrint((F.ceil(F.max(c) / gsd) * gsd - F.floor(F.min(c) / gsd) * gsd) / gsd) - 1
+    return points.agg(side("x").cast("long").alias("mu"), side("y").cast("long").alias("mv"))
+
+
+def fill_holes(known: DataFrame, levels: int | None = None, size: DataFrame | None = None) -> DataFrame:
+    """known (u, v, z) -> all cells of its rectangle, or up to ``size`` (one row mu, mv); holes get the mean of the smallest
+    block of 2 ** k cells that has any. Without ``levels`` there are as many as leave one block.
 
     A level's mean is that of the level below, so the pyramid shrinks by four each time and a level costs one small shuffle.
     """
-    size = known.agg(F.max("u").alias("mu"), F.max("v").alias("mv"))  # one row
+    size = known.agg(F.max("u").alias("mu"), F.max("v").alias("mv")) if size is None else size  # one row
+    if levels is None:
+        last = size.first()
+        levels = max(0, last["mu"] or 0, last["mv"] or 0).bit_length()
     every = size.select(F.explode(F.sequence(F.lit(0).cast("long"), "mu")).alias("u"), "mv").select("u", F.explode(F.sequence(F.lit(0).cast("long"), "mv")).alias("v"))
     out, level, z = every.join(known, ["u", "v"], "left"), known, F.col("z")
     for k in range(1, levels + 1):

@@ -42,6 +42,17 @@ def las_fill_hole(points):
     return pointcloud.fill_holes(at.where("intensity = 7 AND classification = 1").groupBy("u", "v").agg(F.avg("z").alias("z")), 3)
 
 
+@register("las_points", sql=CELLS + ", known AS (SELECT u, v, avg(z) z FROM cells GROUP BY ALL), size AS (SELECT CAST(round((x1-x0)/5e1) AS BIGINT) - 1 mu, CAST(round((y1-y0)/5e1) AS BIGINT) - 1 mv FROM ext)" + _levels(5) + """,
+    every AS (SELECT u, v FROM (SELECT unnest(range(0, mu + 1)) u, mv FROM size), LATERAL (SELECT unnest(range(0, mv + 1)) v))
+    SELECT e.u, e.v, round(coalesce(k.z, l1.z, l2.z, l3.z, l4.z, l5.z) + 1e-9, 6) z FROM every e LEFT JOIN known k ON e.u=k.u AND e.v=k.v LEFT JOIN l1 ON e.u//2=l1.u AND e.v//2=l1.v LEFT JOIN l2 ON e.u//4=l2.u AND e.v//4=l2.v LEFT JOIN l3 ON e.u//8=l3.u AND e.v//8=l3.v
+    LEFT JOIN l4 ON e.u//16=l4.u AND e.v//16=l4.v LEFT JOIN l5 ON e.u//32=l5.u AND e.v//32=l5.v""")
+def las_fill_hole_all(points):
+    """The whole grid of the classes: its own extent, all levels, holes as they occur. A side of the view has at most 20 cells, so five levels in SQL."""
+    some = points.where(F.col("classification").isin(1, 2, 3))
+    known = pointcloud.cells(some, GSD).groupBy("u", "v").agg(F.avg("z").alias("z"))
+    return pointcloud.fill_holes(known, size=pointcloud.raster(some, GSD)).withColumn("z", F.col("z") + 1e-9)  # as in las_grid
+
+
 @register("las_points", sql="SELECT classification, count(*) n, round(min(x),6) xmin, round(max(x),6) xmax, round(min(y),6) ymin, round(max(y),6) ymax, round(min(z),6) zmin, round(max(z),6) zmax FROM las_points GROUP BY 1")
 def las_stats(points):
     return pointcloud.statistics(points)

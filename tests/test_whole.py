@@ -1,6 +1,6 @@
 """Operators over all of their input: no round, level or row is left out."""
 
-from geoloom.operators import catalog
+from geoloom.operators import catalog, pointcloud
 
 
 def test_robust_fit_leaves_out_many(spark):
@@ -9,3 +9,9 @@ def test_robust_fit_leaves_out_many(spark):
     fit = catalog.robust_affinity(spark.createDataFrame(good + bad, "x double, y double, x2 double, y2 double")).first()
     assert fit["n"] == len(good) and fit["rms"] < 1e-9
     assert all(abs(a - b) < 1e-9 for a, b in zip(fit[:6], (2, 0, 5, 0, 3, -7), strict=True))
+
+
+def test_holes_are_filled_up_to_the_extent(spark):
+    known, size = spark.createDataFrame([(0, 0, 1.0), (3, 2, 3.0)], "u long, v long, z double"), spark.createDataFrame([(39, 20)], "mu long, mv long")
+    got = {(r["u"], r["v"]): r["z"] for r in pointcloud.fill_holes(known, size=size).collect()}
+    assert len(got) == 40 * 21 and got[1, 1] == 1 and got[39, 20] == 2 and None not in got.values()
