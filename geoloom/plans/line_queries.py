@@ -86,6 +86,12 @@ def sort_size(points):
     return lines.by_size(lines.build(points)).limit(20)
 
 
+@register("las_points", sql=V + "sized AS (SELECT id, max(x)-min(x)+max(y)-min(y) size FROM v GROUP BY 1) SELECT id, round(size,6) size FROM sized ORDER BY sized.size DESC, id")
+def sort_size_all(points):
+    """All lines in order: a sort over ranges."""
+    return lines.by_size(lines.build(points))
+
+
 @register("pt_features", "dtm_nodes", sql="""SELECT f.feature_id, f.class, round(f.z - d.z, 6) delta FROM pt_features f JOIN dtm_nodes d ON CAST(floor((f.x - 650000)/5e1 + 5e-1) AS BIGINT) = d.col AND CAST(floor((6861000 - f.y)/5e1 + 5e-1) AS BIGINT) = d.row_
     WHERE f.z > -99 AND d.z > -99 AND abs(d.z - f.z) >= 50""")
 def delta_dtm_vector(features, nodes):

@@ -1,6 +1,7 @@
 """Operators over all of their input: no round, level or row is left out."""
 
 from geoloom.operators import catalog, pointcloud
+from geoloom.queries import QUERIES
 
 
 def test_robust_fit_leaves_out_many(spark):
@@ -15,3 +16,10 @@ def test_holes_are_filled_up_to_the_extent(spark):
     known, size = spark.createDataFrame([(0, 0, 1.0), (3, 2, 3.0)], "u long, v long, z double"), spark.createDataFrame([(39, 20)], "mu long, mv long")
     got = {(r["u"], r["v"]): r["z"] for r in pointcloud.fill_holes(known, size=size).collect()}
     assert len(got) == 40 * 21 and got[1, 1] == 1 and got[39, 20] == 2 and None not in got.values()
+
+
+def test_all_lines_are_sorted(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["sort_size_all"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count() > 20
+    assert all(a["size"] >= b["size"] for a, b in zip(rows, rows[1:], strict=False))
