@@ -1,11 +1,13 @@
 """Exact dedup by an extendible-hash index on shared files (DataFrame functions only).
 
 Every distinct text is one entry of the index: 64-bit key, digest, length, the largest doc_id and the number of rows.
-``groupBy(key, text)`` inserts rows: map tasks combine their copies first, owners of a key range chain texts whose keys
-collide and compare their bytes (grouping on the text itself), so a text held by a third of all rows is one partial row
-per map task. The directory then starts with one bucket and doubles: a bucket with more than ``capacity`` entries is
-split by one more bit of the key until it fits. Entries are written bucket by bucket; rows look up their entry by key
-and digest.
+``groupBy(key, text)`` inserts rows: map tasks combine their copies first, and texts whose keys collide are told apart by
+their bytes (the grouping is on the text itself), so a text held by a third of all rows is one partial row per map task.
+The directory has a slot for each value of the key's leading bits; their number grows until no slot holds more than
+``capacity`` entries, and slots that fit together share a bucket, as they would if overfull buckets had been split one bit
+at a time. The directory is a table, not a list on the driver. Owner tasks take whole buckets, number the entries of equal
+keys as a chain and write them in order. A row finds its bucket through its slot, and its entry in the bucket's chain by
+key, length and SHA-256.
 
 Defined cases: a null text counts as empty; a null doc_id is smaller than any other; rows repeated with the same doc_id
 and text are copies like any other and exactly one of them is kept; an empty table gives no rows; other columns are
@@ -14,17 +16,16 @@ carried along by ``drop_copies`` whatever their names and ignored by ``exact_cop
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, scratch, text_or_empty
+from geoloom.llm.common import materialise, spare, text_or_empty
 
-CAPACITY = 1 << 20
-STEP = 8  # bits by which one count looks deeper
-DEEPEST = 56
+CAPACITY = 1 << 12
+STEP = 4  # bits by which the directory grows at once
+DEEPEST = 56  # one chain of equal keys cannot be split further
 
 
 def key_of(text: Column) -> Column:
@@ -35,53 +36,26 @@ def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """Buckets as (depth, prefix of the key). Its length is the number of entries over ``capacity``, times a small factor."""
-    done: list[tuple[int, int]] = []
-    overfull, depth = [(0, 0)], 0
-    while overfull:
-        deeper, known = depth + STEP, [p for _, p in overfull]
-        some = entries if not depth else entries.where(_prefix(depth).isin(known))
-        counts = {r["p"]: r["n"] for r in some.groupBy(_prefix(deeper).alias("p")).agg(F.count("*").alias("n")).collect()}
-        todo, overfull = overfull, []
-        for d in range(depth, deeper + 1):
-            at: dict[int, int] = defaultdict(int)
-            for p, n in counts.items():
-                at[p >> (deeper - d)] += n
-            split = []
-            for _, p in todo:
-                if at[p] <= capacity or d >= DEEPEST:  # one chain of equal keys cannot be split further
-                    done.append((d, p))
-                elif d == deeper:
-                    overfull.append((d, p))
-                else:
-                    split += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-            todo = split
-        depth = deeper
-    return sorted(done)
-
-
-def bucket_of(buckets: list[tuple[int, int]]) -> Column:
-    """The bucket of ``key``: one lookup per depth that the directory uses."""
-    by_depth: dict[int, list[int]] = defaultdict(list)
-    for d, p in buckets:
-        by_depth[d].append(p)
-    out = F.lit("overflow")
-    for d, ps in sorted(by_depth.items()):
-        out = F.when(_prefix(d).isin(ps), F.concat(F.lit(f"{d}-"), F.hex(_prefix(d)))).otherwise(out)
-    return out
-
-
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows (doc_id, text, key) -> entries (bucket, key, chain, digest, n_bytes, keep_id, group_size), in bucket files."""
-    spark = rows.sparkSession
+def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFrame]:
+    """The number of leading bits of a key that name its slot, and a row per slot in use: slot, bucket (its depth and its bits)."""
+    bits = 0
+    while bits < DEEPEST and (entries.groupBy(_prefix(bits)).count().agg(F.max("count")).first()[0] or 0) > capacity:
+        bits += STEP
+    slots = materialise(entries.groupBy(_prefix(bits).alias("slot")).agg(F.count("*").alias("n")), "slots")
+    depths = slots.withColumn("depth", F.explode(F.array(*map(F.lit, range(bits + 1))))).withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {bits} - depth)"))
+    fits = depths.groupBy("depth", "prefix").agg(F.sum("n").alias("entries")).where((F.col("entries") <= capacity) | (F.col("depth") == bits))
+    first = depths.join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("b"))
+    return bits, materialise(first.select("slot", F.concat_ws("-", "b.depth", F.hex("b.prefix")).alias("bucket")), "directory")
+
+
+def build_index(rows: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFrame, DataFrame]:
+    """rows (doc_id, text, key) -> bits and table of the directory; entries (bucket, key, chain, digest, n_bytes, keep_id, group_size)."""
     entries = rows.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = materialise(entries.select("key", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes"), "keep_id", "group_size"), "entries")
-    path = scratch(spark, "hash-index")
-    (entries.withColumn("bucket", bucket_of(directory(entries, capacity)))
-        .repartition("bucket", F.shiftrightunsigned("key", 52)).sortWithinPartitions("bucket", "key", "digest")
-        .write.partitionBy("bucket").option("compression", "zstd").parquet(path))
-    return spark.read.schema(entries.schema.add("bucket", "string")).parquet(path)
+    bits, slots = directory(entries, capacity)
+    owned = entries.withColumn("slot", _prefix(bits)).join(slots, "slot").repartition("bucket")
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("n_bytes", "digest"))  # within a bucket's owner: no further shuffle
+    return bits, slots, materialise(owned.select("bucket", "key", chain.alias("chain"), "digest", "n_bytes", "keep_id", "group_size"), "hash-index")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Column], Column]) -> DataFrame:
@@ -89,11 +63,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Column],
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, key: Callable[[Column], Column], capacity: int) -> DataFrame:
-    """(doc_id, key, digest, n): rows repeated with one doc_id and text; with their entry's keep_id and group_size."""
+    """(doc_id, digest, n): rows repeated with one doc_id and text; with their entry's keep_id and group_size."""
     rows = _keyed(docs, id_col, text_col, key)
-    index = build_index(rows, capacity).select("key", "digest", "keep_id", "group_size")
-    found = rows.select("doc_id", "key", F.sha2("text", 256).alias("digest")).groupBy("doc_id", "key", "digest").agg(F.count("*").alias("n"))
-    return found.join(index, ["key", "digest"])
+    bits, slots, index = build_index(rows, capacity)
+    found = rows.select("doc_id", "key", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes")).groupBy("doc_id", "key", "digest", "n_bytes").agg(F.count("*").alias("n"))
+    return found.withColumn("slot", _prefix(bits)).join(slots, "slot").join(index, ["bucket", "key", "n_bytes", "digest"])
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = key_of, capacity: int = CAPACITY) -> DataFrame:
@@ -106,9 +80,8 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = key_of, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keep = _groups(docs, id_col, text_col, key, capacity).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("doc_id").alias("__id")
-    )
-    rows = docs.withColumn("__k", key(text_or_empty(text_col))).withColumn("__d", F.sha2(text_or_empty(text_col), 256))
-    same = (F.col("__k") == F.col("__key")) & (F.col("__d") == F.col("__digest")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["__k", "__d", id_col]).select(*docs.columns)
+    k, d, other_k, other_d, its = spare(docs.columns, "__k", "__d", "__key", "__digest", "__id")
+    keep = build_index(_keyed(docs, id_col, text_col, key), capacity)[2].select(F.col("key").alias(other_k), F.col("digest").alias(other_d), F.col("keep_id").alias(its))
+    rows = docs.withColumn(k, key(text_or_empty(text_col))).withColumn(d, F.sha2(text_or_empty(text_col), 256))
+    same = (F.col(k) == F.col(other_k)) & (F.col(d) == F.col(other_d)) & F.col(id_col).eqNullSafe(F.col(its))
+    return rows.join(keep, same, "left_semi").dropDuplicates([k, d, id_col]).select(*docs.columns)
