@@ -190,6 +190,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield flush()
 
     sent = rows.mapInArrow(parse, "range int, after boolean, id long, text string, fp binary")
-    return sent.repartition("range").sortWithinPartitions("range", "after", F.col("id").desc_nulls_last(), "text").mapInArrow(
+    return sent.repartitionById(max(1, len(tops)), "range").sortWithinPartitions("range", "after", F.col("id").desc_nulls_last(), "text").mapInArrow(
         edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

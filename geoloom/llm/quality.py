@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, id_col
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [statistics(t) for t in b["text"]]})
 
-    seen = materialise(texts.mapInPandas(run, "id long, y int, x array<double>"), "quality-sample").dropDuplicates(["id"]).orderBy("id").toPandas()
+    seen = materialise(texts.mapInPandas(run, "id long, y int, x array<double>"), "quality-sample").groupBy("id").agg(F.max(F.struct("y", "x")).alias("s")).select("id", "s.y", "s.x").orderBy("id").toPandas()
     return fit(np.array(seen["x"].tolist(), float).reshape(-1, len(FEATURES)), seen["y"].to_numpy(float))
 
 

@@ -7,7 +7,7 @@ aside and renamed into place, and the rename fails if another writer has taken t
 version; files are never changed, so older versions stay readable until ``vacuum``.
 
 Defined cases: rows are carried along whole with all columns, nulls and repeats included; an empty arrival adds no
-shard; compacting an empty store commits nothing; a shard of one version may hold rows of several arrivals.
+shard, and a store of such arrivals reads as no rows; compacting a store without shards commits nothing; a shard of one version may hold rows of several arrivals.
 """
 
 from __future__ import annotations
@@ -117,8 +117,9 @@ def compact(spark: SparkSession, store: str, target: int = TARGET, fan: int = FA
 
 
 def read(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
-    """The rows of a version, with ``_metadata`` of their files."""
-    return spark.read.parquet(*[r["shard"] for r in manifest(spark, store, version).select("shard").collect()])
+    """The rows of a version, with ``_metadata`` of their files. A store without rows still knows its columns from its empty arrivals."""
+    shards = [r["shard"] for r in manifest(spark, store, version).select("shard").collect()]
+    return spark.read.parquet(*shards) if shards else spark.read.parquet(f"{store}/shards/*").where("false")
 
 
 def vacuum(spark: SparkSession, store: str) -> int:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import discard, materialise, short_batches, text_or_empty
+from geoloom.llm.common import discard, materialise, short_batches, spare, text_or_empty
 
 LENGTH = 200
 GRAM = 48
@@ -307,9 +307,10 @@ def kept_text(data: bytes, gone: list[tuple[int, int]]) -> str:
 
 def _with_starts(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, keep_first: bool) -> DataFrame:
     text = text_or_empty(text_col)
-    gone = spans(docs, id_col, text_col, length, gram, keep_first).select(F.col("doc").alias("__d"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("starts").alias("__starts"))
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__d")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(text, F.lit(1)) == F.col("__t2"))
-    return docs.join(gone, same, "left").drop("__d", "__t1", "__t2")
+    d, t1, t2, starts = spare(docs.columns, "__d", "__t1", "__t2", "__starts")
+    gone = spans(docs, id_col, text_col, length, gram, keep_first).select(F.col("doc").alias(d), F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("starts").alias(starts))
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col(d)) & (F.xxhash64(text) == F.col(t1)) & (F.xxhash64(text, F.lit(1)) == F.col(t2))
+    return docs.join(gone, same, "left").drop(d, t1, t2)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
@@ -332,13 +333,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = True) -> DataFrame:
     """``docs`` with repeated strings cut out of the text column; other columns as they are. Characters stay whole."""
-    rows, columns = _with_starts(docs, id_col, text_col, length, gram, keep_first), docs.columns
+    rows, columns, (starts,) = _with_starts(docs, id_col, text_col, length, gram, keep_first), docs.columns, spare(docs.columns, "__starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                both = zip(part.column(text_col).to_pylist(), part.column("__starts").to_pylist(), strict=True)
+                both = zip(part.column(text_col).to_pylist(), part.column(starts).to_pylist(), strict=True)
                 texts = [kept_text(t.encode(), merged(s, length)) if s else t for t, s in both]
                 at = part.schema.get_field_index(text_col)
                 yield part.set_column(at, pa.field(text_col, pa.string()), pa.array(texts, pa.string())).select(columns)
