@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions.grids import crossings
+
 ZONE_CELL = 100.0
 
 
@@ -76,3 +78,53 @@ def touching(zones: DataFrame) -> DataFrame:
     other = cells.select(*(F.col(c).alias(f"{c}2") if c[0] != "_" else F.col(c) for c in cells.columns))
     met = (F.col("zone_id") != F.col("zone_id2")) & (F.col("xmin") <= F.col("xmax2")) & (F.col("xmax") >= F.col("xmin2")) & (F.col("ymin") <= F.col("ymax2")) & (F.col("ymax") >= F.col("ymin2"))
     return cells.join(other, ["_cx", "_cy"]).where(met).select("zone_id", F.col("zone_id2").alias("other")).distinct()
+
+
+def _covered(frames: DataFrame, size: float = ZONE_CELL) -> DataFrame:
+    """frames (xmin, ymin, xmax, ymax) with a row for each cell that they touch."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return frames.withColumn("_cx", span("xmin", "xmax")).withColumn("_cy", span("ymin", "ymax"))
+
+
+def meeting(frames: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of rows whose frames touch; the columns of ``others`` get a 2. Frames meet in cells, a pair once, in the cell of its first common corner."""
+    right = _covered(others)
+    right = right.select(*(F.col(c).alias(c if c[0] == "_" else f"{c}2") for c in right.columns))
+    first = (F.col("_cx") == F.floor(F.greatest("xmin", "xmin2") / ZONE_CELL)) & (F.col("_cy") == F.floor(F.greatest("ymin", "ymin2") / ZONE_CELL))
+    met = (F.col("xmin") <= F.col("xmax2")) & (F.col("xmax") >= F.col("xmin2")) & (F.col("ymin") <= F.col("ymax2")) & (F.col("ymax") >= F.col("ymin2"))
+    return _covered(frames).join(right, ["_cx", "_cy"]).where(met & first).drop("_cx", "_cy")
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Points (x, y) inside polygons (ring, closed): pairs of rows, by cells of the rings' frames, then the exact test."""
+    side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    framed = polygons.withColumns({"xmin": side(F.array_min, "x"), "ymin": side(F.array_min, "y"), "xmax": side(F.array_max, "x"), "ymax": side(F.array_max, "y")})
+    cx, cy = _cell(ZONE_CELL)
+    met = points.withColumn("_cx", cx).withColumn("_cy", cy).join(_covered(framed), ["_cx", "_cy"])
+    inside = (F.col("x") >= F.col("xmin")) & (F.col("x") <= F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") <= F.col("ymax"))
+    return met.where(inside & (crossings(F.col("x"), F.col("y"), F.col("ring")) % 2 == 1)).drop("_cx", "_cy", "xmin", "ymin", "xmax", "ymax", "ring")
+
+
+def nearest_of_all(probe: DataFrame, points: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, z): the height of each probe's planimetrically nearest point at any distance, of equals the first; no row if there are no points.
+
+    Cells double: what a probe's nine cells hold within one cell's size is its answer, and only probes without one go on.
+    """
+    span = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    ends = probe.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    lows = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if span[0] is None or ends[0] is None:
+        return probe.join(points.select("z"), F.lit(False)).select(key, "z")
+    far = 2 * max(max(ends[1], lows[1]) - min(ends[0], lows[0]), max(ends[3], lows[3]) - min(ends[2], lows[2]), size)
+    done, left = None, probe
+    order = F.struct("d2", "l_orderkey", "l_linenumber")
+    while True:
+        pairs = neighbours(left, points.select("x", "y", "z", "l_orderkey", "l_linenumber"), size)
+        x, y = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+        best = pairs.withColumn("d2", x * x + y * y).groupBy(key).agg(F.min("d2").alias("d2"), F.min_by("pz", order).alias("z"))
+        found = (best if size >= far else best.where(F.col("d2") <= size * size)).select(key, "z").persist()
+        done = found if done is None else done.union(found)
+        left = left.join(found.select(key), key, "left_anti")
+        if size >= far or left.isEmpty():
+            return done
+        size *= 2
