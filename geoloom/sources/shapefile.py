@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,3 +113,81 @@ def parts_of(features: DataFrame) -> DataFrame:
     end = F.when(F.col("part") + 1 < n, F.col("parts")[F.col("part") + 1]).otherwise(F.size("pts"))
     some = features.select("*", F.posexplode("parts").alias("part", "begin"))
     return some.withColumn("pts", F.slice("pts", F.col("begin") + 1, end - F.col("begin"))).drop("parts", "begin")
+
+
+CODES = {"null": 0, "point": 1, "line": 3, "polygon": 5, "multipoint": 8}  # fixed values
+
+
+def content_of(kind: str, parts: list[int], pts: np.ndarray) -> bytes:
+    """A record's content; with heights (code + 10) if all vertices have one."""
+    code = CODES[kind] if len(pts) else 0
+    if code == 0:
+        return struct.pack("<i", 0)
+    with_z = not np.isnan(pts[:, 2]).any()
+    z = np.ascontiguousarray(pts[:, 2], "<f8")
+    code += 10 * with_z
+    if kind == "point":
+        return struct.pack("<i2d", code, *pts[0, :2]) + (struct.pack("<2d", z[0], 0.0) if with_z else b"")
+    head = struct.pack("<i4d", code, *pts[:, :2].min(axis=0), *pts[:, :2].max(axis=0))
+    counts = struct.pack("<i", len(pts)) if kind == "multipoint" else struct.pack(f"<2i{len(parts)}i", len(parts), len(pts), *parts)
+    heights = struct.pack("<2d", z.min(), z.max()) + z.tobytes() if with_z else b""
+    return head + counts + np.ascontiguousarray(pts[:, :2], "<f8").tobytes() + heights
+
+
+def _header(kind: str, size: int, frame: np.ndarray, with_z: bool) -> bytes:
+    return struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, CODES[kind] + 10 * with_z, *frame, 0.0, 0.0)
+
+
+def table_of(rows: list[dict[str, str]], encoding: str) -> bytes:
+    """A dBase table of text fields; names are cut to ten letters and made different, texts to 254 bytes."""
+    names: dict[str, str] = {}
+    for name in dict.fromkeys(n for r in rows for n in r):
+        short, k = name[:10], 0
+        while short.upper() in {s.upper() for s in names.values()}:
+            k += 1
+            short = f"{name[: 10 - len(str(k))]}{k}"
+        names[name] = short
+    names = names or {"id": "id"}
+    texts = [[(r.get(n) or "").encode(encoding, "replace")[:254] for n in names] for r in rows]
+    sizes = [max([1, *(len(t[i]) for t in texts)]) for i in range(len(names))]
+    head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(names), 1 + sum(sizes))
+    fields = b"".join(struct.pack("<11sc4xB15x", s.encode(encoding, "replace"), b"C", n) for s, n in zip(names.values(), sizes, strict=True))
+    return head + fields + b"\r" + b"".join(b" " + b"".join(x.ljust(n) for x, n in zip(t, sizes, strict=True)) for t in texts) + b"\x1a"
+
+
+def write_shapefiles(features: DataFrame, encoding: str = "latin-1") -> DataFrame:
+    """features (kind, parts, pts and, if there, attributes) -> (name, content): the .shp, .shx and .dbf files of each task's rows.
+
+    A shapefile holds one kind, so a task gives a set of files for each kind it has; null shapes go to any set. A set is held in
+    the task's memory, as the format's 2 GB limit allows; repartition for smaller ones. Heights are written where all shapes of the set have them.
+    """
+    has_table = "attributes" in features.columns
+    columns = ["kind", "parts", "pts", *(["attributes"] if has_table else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, list[tuple[list[int], np.ndarray, dict]]] = {}
+        for b in batches:
+            for row in b.to_pylist():
+                pts = np.array([(p["x"], p["y"], np.nan if p["z"] is None else p["z"]) for p in row["pts"] or ()], float).reshape(-1, 3)
+                kind = row["kind"] if len(pts) else next(iter(sets), "point")
+                sets.setdefault(kind, []).append((row["parts"] or [], pts, dict(row.get("attributes") or ())))
+        part = TaskContext.get().partitionId()
+        for kind, rows in sets.items():
+            flat = any(np.isnan(p[:, 2]).any() for _, p, _ in rows)
+            for _, p, _ in rows:
+                if flat:
+                    p[:, 2] = np.nan
+            some = [p[:, :2] for _, p, _ in rows if len(p)]
+            every = np.concatenate(some) if some else np.zeros((1, 2))
+            high = np.concatenate([p[:, 2] for _, p, _ in rows])
+            heights = [0.0, 0.0] if flat or not len(high) else [high.min(), high.max()]
+            frame, with_z = [*every.min(axis=0), *every.max(axis=0), *heights], not flat and bool(some)
+            contents = [content_of(kind, parts, p) for parts, p, _ in rows]
+            body = b"".join(struct.pack(">2i", i, len(c) // 2) + c for i, c in enumerate(contents, 1))
+            sizes = np.array([len(c) for c in contents])
+            places = 100 + np.cumsum(sizes + 8) - sizes - 8
+            index = np.stack([places // 2, sizes // 2], axis=1).astype(">i4").tobytes()
+            made = {"shp": _header(kind, 100 + len(body), frame, with_z) + body, "shx": _header(kind, 100 + len(index), frame, with_z) + index, "dbf": table_of([a for _, _, a in rows], encoding)}
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{kind}.{x}" for x in made]), pa.array(list(made.values()), pa.binary())], names=["name", "content"])
+
+    return features.select(*columns).mapInArrow(run, "name string, content binary")
