@@ -27,13 +27,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write are dropped once it has ended, since nothing else reads them; the session's setting comes back.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -89,5 +98,17 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return [free(n) for n in names]
 
 
+def only(docs: DataFrame, reps: DataFrame, id_col: str, hashed: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and hash are in reps (doc_id, h), with all their columns; of rows equal in both one stays.
+
+    Both the join and the dropping of repeated rows go by the hashes of text and id, so rows move once.
+    """
+    h, i, its, other, other_i = spare(docs.columns, "__h", "__i", "__id", "__hash", "__hash_i")
+    reps = reps.select(F.col("doc_id").alias(its), F.col("h").alias(other), F.xxhash64("doc_id").alias(other_i))
+    rows = docs.withColumn(h, hashed).withColumn(i, F.xxhash64(id_col))
+    same = (F.col(h) == F.col(other)) & (F.col(i) == F.col(other_i)) & F.col(id_col).eqNullSafe(F.col(its))
+    return rows.join(reps.hint("merge"), same, "left_semi").dropDuplicates([h, i, id_col]).select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

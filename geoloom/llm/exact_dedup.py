@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, spare, text_or_empty
+from geoloom.llm.common import materialise, only, text_or_empty
 
 CAPACITY = 1 << 12
 STEP = 4  # bits by which the directory grows at once
@@ -80,8 +80,5 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = key_of, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    k, d, other_k, other_d, its = spare(docs.columns, "__k", "__d", "__key", "__digest", "__id")
-    keep = build_index(_keyed(docs, id_col, text_col, key), capacity)[2].select(F.col("key").alias(other_k), F.col("digest").alias(other_d), F.col("keep_id").alias(its))
-    rows = docs.withColumn(k, key(text_or_empty(text_col))).withColumn(d, F.sha2(text_or_empty(text_col), 256))
-    same = (F.col(k) == F.col(other_k)) & (F.col(d) == F.col(other_d)) & F.col(id_col).eqNullSafe(F.col(its))
-    return rows.join(keep, same, "left_semi").dropDuplicates([k, d, id_col]).select(*docs.columns)
+    index = build_index(_keyed(docs, id_col, text_col, key), capacity)[2]
+    return only(docs, index.select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("h")), id_col, F.sha2(text_or_empty(text_col), 256))

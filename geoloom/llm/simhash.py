@@ -23,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, per_text, text_or_empty
+from geoloom.llm.common import materialise, only, per_text, text_or_empty
 from geoloom.llm.components import components
 
 SHINGLE = 3
 BITS = 2
+WIDE = 8  # bits, where the texts themselves are checked afterwards
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BATCH = 1 << 16  # codes that are walked together, and the most node pairs held at a time are 16 times that
@@ -113,7 +114,7 @@ def _permuted(codes: np.ndarray, lead: tuple[int, int]) -> np.ndarray:
 LEADS = list(combinations(range(4), 2))
 
 
-def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _subtrees(batches: Iterator[pd.DataFrame], budget: int = BITS) -> Iterator[pd.DataFrame]:
     """Rows (choice, head, fp) sorted by choice and head -> links between fingerprints; whole subtrees at a time."""
 
     def stars(rows: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +126,7 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             turned[at] = _permuted(codes[at], lead)
         order = np.lexsort((turned, head, choice))
         group = (choice[order].astype(np.int64) << 32) | head[order]
-        root = local_roots(len(order), *trie_links(turned[order], group, 32, BITS))
+        root = local_roots(len(order), *trie_links(turned[order], group, 32, budget))
         at = np.flatnonzero(root != np.arange(len(root)))
         fps = rows["fp"].to_numpy(np.int64)[order]
         return pd.DataFrame({"u": fps[at], "v": fps[root[at]]})
@@ -144,12 +145,25 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield stars(pd.concat(held, ignore_index=True))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) that join all fingerprints ``fp`` that differ in at most two bits, directly or through others."""
+def links(distinct: DataFrame, budget: int = BITS) -> DataFrame:
+    """Links (u, v) that join all fingerprints ``fp`` that differ in at most two bits, directly or through others.
+
+    With a larger budget they also join those that differ in more bits and agree on two of the four blocks.
+    """
     block = [F.shiftrightunsigned("fp", 48 - 16 * b).bitwiseAND(0xFFFF) for b in range(4)]
     heads = F.array(*(F.struct(F.lit(c).alias("choice"), (block[a] * 65536 + block[b]).alias("head")) for c, (a, b) in enumerate(LEADS)))
     rows = distinct.select("fp", F.explode(heads).alias("s")).select("s.choice", "s.head", "fp")
-    return rows.repartition("choice", "head").sortWithinPartitions("choice", "head").mapInPandas(_subtrees, "u long, v long")
+    return rows.repartition("choice", "head").sortWithinPartitions("choice", "head").mapInPandas(partial(_subtrees, budget=budget), "u long, v long")
+
+
+def text_pairs(rows: DataFrame, size: int = SHINGLE, budget: int = WIDE) -> DataFrame:
+    """rows (h, text), h a text's hash -> pairs (u, v) of texts to check: a star for each set of fingerprints that the tries link."""
+    fps = materialise(per_text(rows.select("h", "text"), {"fp": "long"}, lambda texts: (np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64),)), "text-fps")
+    first = materialise(fps.groupBy("fp").agg(F.min("h").alias("first")), "first-fps")
+    same = fps.join(first, "fp").where("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v"))
+    roots = components(links(first.select("fp"), budget))
+    near = roots.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("root"), F.col("first").alias("b")), "root")
+    return same.union(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct()
 
 
 def near_groups(fps: DataFrame) -> DataFrame:
@@ -170,7 +184,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all their columns."""
     fps = materialise(fingerprints(docs, id_col, text_col, size), "fps")
-    reps = near_groups(fps).select(F.col("rep.doc_id").alias("__id"), F.col("rep.text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__h", F.xxhash64(text_or_empty(text_col)))
-    same = (F.col("__h") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    return rows.join(reps, same, "left_semi").dropDuplicates(["__h", id_col]).select(*docs.columns)
+    reps = near_groups(fps).select("rep.doc_id", F.col("rep.text_hash").alias("h")).distinct()
+    return only(docs, reps, id_col, F.xxhash64(text_or_empty(text_col)))

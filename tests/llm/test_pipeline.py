@@ -23,6 +23,7 @@ def test_toxic_documents_go(spark):
     kept = toxicity.reject(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
     clean = labels.where("toxic = 0").count()
     assert kept.where("toxic = 0").count() > 0.98 * clean
+    assert kept.where("toxic = 1").count() < 0.1 * labels.where("toxic = 1").count()
 
 
 def _plain_kept(rows):
