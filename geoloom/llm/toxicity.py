@@ -1,6 +1,6 @@
 """Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
-A unit is a word's letters, or a run of single letters put together, in lower case. K(s, t) sums over common
+A unit is a word's letters, or a run of single letters put together, in lower case, after a START sign. K(s, t) sums over common
 subsequences of ORDER letters, each letter or gap that they span costing a factor DECAY (Lodhi et al., 2002), and is
 normalised, so an insult with inserted or dropped letters stays close to the plain one. Landmarks are stems (starts of
 words) that mark toxic training documents, picked greedily so that each adds documents the others miss; a unit is held
@@ -8,7 +8,7 @@ against a landmark in windows of as many letters as the landmark has and SPARE m
 to its end, and the largest value counts, so neither what stands before an insult nor endings matter. A sentence's
 feature is its largest kernel value at each landmark (values under FLOOR count as zero), put through the inverse square
 root of the landmarks' own kernel matrix; a linear machine with squared hinge loss is trained on labelled sentences. A
-document's score is a logistic curve of its most toxic sentence's margin and of the share of toxic sentences to words.
+document's score is a logistic curve of its most toxic sentence's margin and of its units' margins over zero, to a word.
 
 Training takes a bounded sample: at most ``max_docs`` labelled documents of each class in order of a hash of their id,
 MAX_SENTENCES sentences of each class and MAX_UNITS units of them of at most LONGEST letters. Scoring reads every whole
@@ -16,7 +16,7 @@ text and every letter of its units.
 
 Defined cases: null and empty texts score as a document without units; a null doc_id is scored and is in no training
 fold; repeated rows score alike; without a labelled document of both classes every score is the share of toxic labels
-(0 if there are none); an empty table gives no rows; other columns are ignored (``reject`` carries them along).
+(0 if there are none); of rows with one doc_id the largest text is learned from; an empty table gives no rows; other columns are ignored (``reject`` carries them along).
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ LANDMARKS = 40
 STEMS, SPARE = range(4, 10), 3  # letters of a stem; letters beyond them in a window, and from one window to the next
 LONGEST = 24  # letters of a unit that is learned from
 MAX_DOCS, MAX_SENTENCES, MAX_UNITS = 1000, 1500, 40_000
+START = "^"  # stands before a unit's letters and a landmark's, so that a stem weighs more where a unit begins
 CACHE = 150_000
 TOXIC = 0.5
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
@@ -93,25 +94,45 @@ def reachable(landmark: str) -> tuple[str, np.ndarray]:
     return letters, left >= (FLOOR * 0.999) ** 2 * left[-1]
 
 
+def letter_sets(words: list[str], letters: list[str]) -> np.ndarray:
+    """For each word whether it holds each letter."""
+    known = np.array([ord(c) for c in letters], np.int32)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+    sizes = np.array([len(w) for w in words], np.int64)
+    at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+    some = np.flatnonzero(known[at] == points)
+    has = np.zeros((len(words), len(letters)), np.float32)
+    has[np.repeat(np.arange(len(words)), sizes)[some], at[some]] = 1
+    return has
+
+
+def hopeful(has: np.ndarray, letters: list[str], landmarks: list[str]) -> np.ndarray:
+    """For each row of letter_sets and each landmark whether the kernel can come to FLOOR."""
+    near = []
+    for mark in landmarks:
+        own, can = reachable(mark)
+        bits = np.array([1 << own.index(c) if c in own else 0 for c in letters], np.float32)
+        near.append(can[(has @ bits).astype(np.int64)])
+    return np.stack(near, axis=1)
+
+
 def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised K of words at landmarks, the largest of a word's windows; pairs whose letters cannot come to FLOOR are zero at once."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     if not words or not landmarks:
         return out
+    letters = sorted(set("".join(landmarks)))
+    whole = hopeful(letter_sets(words, letters), letters, landmarks)  # a word's letters bound those of its windows
     for size in sorted(set(map(len, landmarks))):
         at = np.array([j for j, m in enumerate(landmarks) if len(m) == size])
+        chosen = np.flatnonzero(whole[:, at].any(axis=1))
+        if not len(chosen):
+            continue
         heads: dict[str, int] = {}
-        parts = [windows(w, size + SPARE) for w in words]
+        parts = [windows(words[i], size + SPARE) for i in chosen]
         back = np.array([heads.setdefault(p, len(heads)) for ps in parts for p in ps], np.int64)
         rows, marked = as_rows(list(heads), size + SPARE), as_rows([landmarks[j] for j in at], size)
-        known = [reachable(landmarks[j]) for j in at]
-        letters = sorted(set("".join(ls for ls, _ in known)))
-        has = np.stack([(rows == ord(c)).any(axis=1) for c in letters], axis=1).astype(np.float32)
-        near = []
-        for ls, can in known:
-            bits = np.array([1 << ls.index(c) if c in ls else 0 for c in letters], np.float32)
-            near.append(can[(has @ bits).astype(np.int64)])
-        a, b = np.nonzero(np.stack(near, axis=1))
+        a, b = np.nonzero(hopeful(letter_sets(list(heads), letters), letters, [landmarks[j] for j in at]))
         if not len(a):
             continue
         used, place = np.unique(a, return_inverse=True)
@@ -121,7 +142,7 @@ def kernel_rows(words: list[str], landmarks: list[str]) -> np.ndarray:
             k = slice(lo, lo + 8192)
             values[a[k], b[k]] = subsequence_kernel(rows[a[k]], marked[b[k]]) / np.sqrt(np.maximum(norms[place[k]] * mark_norms[b[k]], 1e-12))
         starts = np.cumsum([0, *map(len, parts)])[:-1]
-        out[:, at] = np.maximum.reduceat(values[back], starts, axis=0)
+        out[np.ix_(chosen, at)] = np.maximum.reduceat(values[back], starts, axis=0)
     out[out < FLOOR] = 0
     return out
 
@@ -156,10 +177,10 @@ class Kernels:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        units = [(w, u) for w in new if len(u := letters_of(w)) >= STEMS[0]]
+        units = [(w, START + u) for w in new if len(u := letters_of(w)) >= STEMS[0]]
         texts = list(dict.fromkeys(u for _, u in units))
         rows = kernel_rows(texts, self.landmarks)
-        near = {t: rows[i] for i, t in enumerate(texts) if rows[i].any()}
+        near = {texts[i]: rows[i] for i in np.flatnonzero(rows.any(axis=1))}
         self.known.update(dict.fromkeys(new))
         self.known.update((w, near[u]) for w, u in units if u in near)
 
@@ -179,7 +200,7 @@ _scorers: dict[tuple[str, ...], Kernels] = {}
 
 
 def evidence(texts: list[str], model: Model) -> np.ndarray:
-    """For each text the largest margin of its sentences and the rate of sentences with a margin over zero to words."""
+    """For each text the largest margin of its sentences and the rate of its units' margins over zero to words."""
     kernels = _scorers.setdefault(tuple(model.landmarks), Kernels(model.landmarks))
     out = np.zeros((len(texts), 2))
     out[:, 0] = model.bias
@@ -190,8 +211,11 @@ def evidence(texts: list[str], model: Model) -> np.ndarray:
         for i, doc in enumerate(sentences[lo : lo + 256], lo):
             near = [k for k in ([k for k in map(known.__getitem__, s) if k is not None] for s in doc) if k]
             if near:
-                margins = np.array([np.max(k, axis=0) for k in near]) @ model.weights + model.bias
-                out[i] = margins.max(), np.log1p(100 * (margins > 0).sum() / sum(map(len, doc)))
+                rows = np.array([k for ks in near for k in ks])
+                starts = np.cumsum([0, *map(len, near)])[:-1]
+                margins = np.maximum.reduceat(rows, starts, axis=0) @ model.weights + model.bias
+                mass = np.maximum(rows @ model.weights + model.bias, 0).sum()
+                out[i] = margins.max(), np.log1p(100 * mass / sum(map(len, doc)))
     return out
 
 
@@ -206,7 +230,7 @@ def machine(landmarks: list[str], sentences: list[str], labels: np.ndarray, insu
     gapped = []
     for m in landmarks:  # insults with a letter put in or doubled
         for _ in range(20):
-            i = int(rng.integers(1, len(m)))
+            i = int(rng.integers(2, len(m)))  # START is not parted from the first letter
             gapped.append(m[:i] + (str(rng.choice(alphabet)) if rng.random() < 0.6 else m[i - 1]) + m[i:])
     kernels = Kernels(landmarks)
     rows = []
@@ -246,21 +270,23 @@ def logistic(found: np.ndarray, y: np.ndarray, share: float) -> tuple[float, flo
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(w[0], 0.0)), float(max(w[1], 0.0)), float(w[2])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
-def stems(units: DataFrame, some: int, none: int) -> list[str]:
+def stems(units: DataFrame, some: int) -> list[str]:
     """units (id, y, unit): the landmarks. At most 500 candidates with their at most ``max_docs`` documents are collected."""
     starts = F.array_distinct(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(F.length("unit") >= n, F.substring(F.col("unit"), 1, n))))
-    pairs = units.select("id", "y", F.explode(starts).alias("stem")).where("stem is not null").distinct()
-    counts = pairs.groupBy("stem").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (some + 1)) - F.log((F.col("c") + 0.5) / (none + 1))
-    best = counts.where((F.col("t") >= max(2, some // 200)) & (odds > np.log(4))).orderBy((F.col("t") * odds).desc(), "stem").limit(500).collect()
+    pairs = units.select("id", "y", F.explode(starts).alias("stem")).where("stem is not null").groupBy("id", "y", "stem").agg(F.count("*").alias("n"))
+    size = {r["y"]: r["count"] for r in units.groupBy("y").count().collect()}
+    counts = pairs.groupBy("stem").agg(F.sum("y").alias("t"), F.sum(F.col("n") * F.col("y")).alias("tn"), F.sum(F.col("n") * (1 - F.col("y"))).alias("cn"))
+    odds = F.log((F.col("tn") + 0.5) / (size.get(1, 0) + 1)) - F.log((F.col("cn") + 0.5) / (size.get(0, 0) + 1))
+    counts = counts.withColumn("odds", odds).where((F.col("t") >= max(2, some // 200)) & (F.col("odds") > np.log(4)))
+    best = counts.orderBy((F.col("t") * F.col("odds")).desc(), "stem").limit(500).collect()
     if not best:
         return []
     where = pairs.where(F.col("stem").isin([r["stem"] for r in best]) & (F.col("y") == 1)).groupBy("stem").agg(F.collect_list("id").alias("ids"))
     ids = {r["stem"]: set(r["ids"]) for r in where.collect()}
-    gain = {r["stem"]: float(np.log((r["t"] + 0.5) / (some + 1)) - np.log((r["c"] + 0.5) / (none + 1))) for r in best}
+    gain = {r["stem"]: r["odds"] for r in best}  # from a document's units, so that a stem that clean texts hold now and then can still mark those that hold many
     left, out = dict(ids), []
     seen: dict[int, int] = {}
     while left and len(out) < LANDMARKS:  # a document is worth half as much each time it is met
@@ -289,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, id_col
     picked = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy(by_hash, "id").limit(max_docs).collect()]  # at most 2 max_docs rows
     picked = docs.sparkSession.createDataFrame(picked, "id long, y int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sample = materialise(texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]), "toxic-sample")
+    sample = materialise(texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.max("text").alias("text")), "toxic-sample")
     count = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     none, some = count.get(0, 0), count.get(1, 0)
     if not none or not some:
@@ -297,16 +323,17 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, id_col
     low = sample.select("id", "y", F.lower("text").alias("text"))
     word = F.regexp_replace(F.col("w"), r"[^\p{L}]", "")
     units = low.select("id", "y", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).select("id", "y", word.alias("unit")).where(F.length("unit").between(STEMS[0], LONGEST))
-    landmarks = stems(units, some, none)
+    landmarks = stems(units, some)
     if not landmarks:
         return dull
     stem = F.col("unit").rlike("^(" + "|".join(map(re.escape, landmarks)) + ")")
     words = units.groupBy("unit").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     first = lambda rows, c, n: [r[c] for r in rows.orderBy(F.xxhash64(c), c).limit(n).collect()]
     insults, clean = first(words.where((F.col("c") == 0) & stem), "unit", MAX_SENTENCES), first(words.where("c > 0"), "unit", MAX_UNITS)
-    parts = low.select("y", F.explode(F.split("text", r"[.!?\n]+")).alias("s")).where(F.length("s").between(STEMS[0], 1000)).distinct()
+    parts = low.select("y", F.explode(F.split("text", SENTENCE.pattern)).alias("s")).where(F.length("s").between(STEMS[0], 1000)).distinct()
     within = F.col("s").rlike("(?<!\\p{L})(" + "|".join(map(re.escape, landmarks)) + ")")
     toxic, calm = first(parts.where((F.col("y") == 1) & within), "s", MAX_SENTENCES), first(parts.where("y = 0"), "s", MAX_SENTENCES)
+    landmarks = [START + m for m in landmarks]
     weights, bias = machine(landmarks, toxic + calm, np.r_[np.ones(len(toxic)), np.zeros(len(calm))], insults, clean)
     model = Model(landmarks, weights, bias, (1.0, 0.0, 0.0))
 
