@@ -9,8 +9,9 @@ order of doc_id and position) or anywhere at all. Strings that start within one
 2. A gram seen once ends there. If all pieces of a gram are equal, all their starts are repeated. The other grams send
    one text for each different piece to the suffix step, so copies and common passages count once.
 3. Suffix step: the texts of a gram, in one task, are put in suffix order by prefix doubling, cut off at ``length``
-   bytes, ties by place in the corpus. Suffixes that tie are repeats of each other. The one before a suffix in its run of
-   ties is its previous smaller position: its longest previous factor reaches ``length``. The first of a run has none.
+   bytes. Suffixes that tie are repeats of each other. For each the previous and the next suffix in that order with a
+   smaller place in the corpus are searched; if one of them ties, the longest previous factor reaches ``length``, and the
+   suffix has an earlier place.
 4. Spans go back to the pieces' places, are merged for each document and cut out.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` are never touched; rows repeated with one doc_id
@@ -36,7 +37,7 @@ from geoloom.llm.common import discard, materialise, short_batches, spare, text_
 LENGTH = 200
 GRAM = 48
 CHUNK = 1 << 19  # bytes hashed together
-ORDERED = 1 << 20  # bytes put in suffix order together, whole grams at a time
+ORDERED = 1 << 19  # bytes put in suffix order together, whole grams at a time
 _LOW = 20  # bits for a place in a chunk
 _BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
@@ -170,10 +171,33 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def smaller_positions(places: list[int], runs_of: list[int]) -> tuple[list[int], list[int]]:
+    """For suffixes in suffix order the previous and the next one of the same run whose place is smaller, -1 if there is none.
+
+    One pass with a stack of the suffixes that still wait for their next smaller one; places on it never fall.
+    """
+    before, after = [-1] * len(places), [-1] * len(places)
+    waiting: list[int] = []
+    run = None
+    for i, (place, own) in enumerate(zip(places, runs_of, strict=True)):
+        if own != run:
+            waiting.clear()
+            run = own
+        while waiting and places[waiting[-1]] > place:
+            after[waiting.pop()] = i
+        if waiting:
+            top = waiting[-1]
+            before[i] = top if places[top] < place else before[top]
+        waiting.append(i)
+    return before, after
+
+
 def previous_factors(texts: list[bytes], groups: np.ndarray, docs: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all starts of strings of ``length`` bytes: (text, offset, repeated at all, has an earlier place).
 
-    Only texts of one group are held against each other; docs and places give a text's order in the corpus.
+    Only texts of one group are held against each other; docs and places give a text's order in the corpus. The longest
+    previous factor of a suffix is what it shares with its previous or its next smaller place in suffix order. It comes to
+    ``length`` within a run of ties alone, so only runs are searched.
     """
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes
@@ -182,15 +206,18 @@ def previous_factors(texts: list[bytes], groups: np.ndarray, docs: np.ndarray, p
     text = np.repeat(np.arange(len(texts)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     r = rank[begins[text] + offset]
-    order = np.lexsort((places[text] + offset, docs[text], r, groups[text]))
-    a, b = order[:-1], order[1:]
-    tie = (r[a] == r[b]) & (groups[text[a]] == groups[text[b]])  # b's previous smaller position is a
-    before, after = np.zeros(len(r), bool), np.zeros(len(r), bool)
-    before[b[tie]] = True
-    after[a[tie]] = True
-    same = np.zeros(len(r), bool)
-    same[b[tie]] = (docs[text[a]] == docs[text[b]])[tie] & ((places[text] + offset)[a] == (places[text] + offset)[b])[tie]
-    return text, offset, before | after, before & ~same
+    _, group = np.unique(groups, return_inverse=True)
+    run = group[text] * (len(rank) + 1) + r  # ranks go to the number of bytes
+    order = np.argsort(run, kind="stable")
+    tie = run[order[1:]] == run[order[:-1]]
+    repeated, earlier = np.zeros(len(r), bool), np.zeros(len(r), bool)
+    tied = order[np.r_[tie, False] | np.r_[False, tie]] if len(order) else order
+    repeated[tied] = True
+    _, doc = np.unique(docs, return_inverse=True)
+    place = (doc[text[tied]].astype(np.int64) << 40) + (places[text] + offset)[tied]
+    before, after = smaller_positions(place.tolist(), run[tied].tolist())
+    earlier[tied] = (np.array(before, np.int64) >= 0) | (np.array(after, np.int64) >= 0)
+    return text, offset, repeated, earlier
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -191,6 +191,31 @@ def test_suffix_small_alphabet(spark, first):
     assert {r[0]: tuple(r[1:]) for r in made.collect()} == _plain_repeats([(i, t.encode()) for i, t in rows], 12, first)
 
 
+def test_smaller_positions():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 60):
+        places = [rng.randint(0, 9) for _ in range(n)]
+        runs = sorted(rng.randint(0, 3) for _ in range(n))
+        before, after = suffix_dedup.smaller_positions(places, runs)
+        for i in range(n):
+            fits = [j for j in range(n) if runs[j] == runs[i] and places[j] < places[i]]
+            assert before[i] == max((j for j in fits if j < i), default=-1) and after[i] == min((j for j in fits if j > i), default=-1)
+
+
+def test_previous_factors_of_places_that_are_not_in_order():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 30))).encode() for _ in range(40)]
+    groups, docs, at = np.array([rng.randint(0, 2) for _ in texts]), np.array([rng.randint(-5, 5) for _ in texts]), np.array([rng.randint(0, 9) * 40 for _ in texts])
+    seen = defaultdict(list)
+    for t, g, d, a in zip(texts, groups, docs, at, strict=True):
+        for s in range(len(t) - 5):
+            seen[g, t[s : s + 6]].append((d, a + s))
+    text, offset, repeated, earlier = suffix_dedup.previous_factors(texts, groups, docs, at, 6)
+    for i, s, r, e in zip(text, offset, repeated, earlier, strict=True):
+        places = seen[groups[i], texts[i][s : s + 6]]
+        assert r == (len(places) > 1) and e == (min(places) < (docs[i], at[i] + s))
+
+
 def test_suffix_long_texts_are_cut_in_chunks(monkeypatch):
     text = bytes(random.Random(2).choices(b"abcd", k=5000))
     whole = [x for x in suffix_dedup.chunks([text], 20)]
