@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import images
 from geoloom.plans.map_queries import FRAME
 from geoloom.plans.registry import register
+from geoloom.sources import text
 
 _GROUND = "(xmin + xmax)/2 + (cos(a)*({u} - 50) - sin(a)*(40 - {v}))*2 x, (ymin + ymax)/2 + (sin(a)*({u} - 50) + cos(a)*(40 - {v}))*2 y"
 
@@ -99,3 +100,12 @@ def xml_paths(features: DataFrame) -> DataFrame:
     xml = features.select("feature_id", F.concat(F.lit("<feature><name>"), F.col("class"), F.lit("</name><!-- two --><points>"), point(0), point(1), F.lit("</points></feature>")).alias("t"))
     at = lambda f, path: f("t", F.lit(path))
     return xml.select("feature_id", at(F.xpath_string, "/feature/name").alias("name"), at(F.xpath_double, "/feature/points/point[2]/x").alias("second"), F.size(at(F.xpath, "/feature/points/point/x/text()")).cast("long").alias("n"), at(F.xpath_string, "/feature/points/point[2]/@note").alias("note"))
+
+
+@register("dtm_nodes", sql=f"""+ size AS (SELECT max(row_) h, max(col) w FROM dtm_nodes), head AS (SELECT unnest([['0', 'ncols ' || (w + 1)], ['1', 'nrows ' || (h + 1)], ['2', 'xllcenter 650000.000'], ['3', printf('yllcenter %.3f', 6861000 - h * 5e1)], ['4', 'cellsize 50.000'], ['5', 'nodata_value -9999']]) p FROM size),
+    g AS (SELECT r AS row_, c AS col FROM (SELECT unnest(range(h + 1)) r, w FROM size), range(20) q(c) WHERE c <= w)
+    SELECT CAST(p[1] AS BIGINT) AS line, p[2] AS value FROM head UNION ALL SELECT row_ + 6, string_agg(coalesce({_half_up('z')}, '-9999'), ' ' ORDER BY col) FROM g LEFT JOIN (SELECT * FROM dtm_nodes WHERE (row_ + col) % 11 <> 0) n USING (row_, col) GROUP BY 1""")
+def asc_grid(nodes: DataFrame) -> DataFrame:
+    """Lines of an ASC file of the grid with a node in eleven missing."""
+    known = nodes.withColumn("z", F.when((F.col("row_") + F.col("col")) % 11 != 0, F.col("z")))
+    return text.asc_lines(known, 650000.0, 6861000.0, 50.0)

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH, HEADER = 1 << 17, 375
 SCHEMA = "path string, point long, x double, y double, z double, intensity int, classification int, gps_time double"
@@ -60,3 +62,58 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
     """A row per point of each *.las file under ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path", "content")
     return files.mapInArrow(_points, SCHEMA)
+
+
+RECORD = np.dtype({"names": ["xyz", "intensity", "returns", "class", "time"], "formats": ["3<i4", "<u2", "u1", "u1", "<f8"], "offsets": [0, 12, 14, 16, 22], "itemsize": 30})  # fixed values: format 6
+
+
+def file_of(points: dict[str, np.ndarray], scale: float) -> bytes:
+    """A LAS 1.4 file of format 6: x, y, z, intensity, classification, gps_time."""
+    xyz = np.stack([points[c] for c in "xyz"], axis=1)
+    low = np.floor(xyz.min(axis=0))
+    whole = np.floor((xyz - low) / scale + 0.5)
+    if whole.max() >= 2**31:
+        raise ValueError("points lie too far apart for this scale")
+    body = np.zeros(len(xyz), RECORD)
+    body["xyz"], body["returns"] = whole, 0x11
+    for column, name in (("intensity", "intensity"), ("class", "classification"), ("time", "gps_time")):
+        body[column] = points[name]
+    kept = whole * scale + low
+    head = bytearray(HEADER)
+    head[:4], head[24], head[25], head[104] = b"LASF", 1, 4, 6
+    struct.pack_into("<HII", head, 94, HEADER, HEADER, 0)
+    struct.pack_into("<H", head, 105, RECORD.itemsize)
+    ends = [v for lo, hi in zip(kept.min(axis=0), kept.max(axis=0), strict=True) for v in (hi, lo)]
+    struct.pack_into("<12d", head, 131, *[scale] * 3, *low, *ends)
+    struct.pack_into("<2Q", head, 247, len(xyz), len(xyz))  # all points, and those of the first return
+    return bytes(head) + body.tobytes()
+
+
+def write_las(points: DataFrame, scale: float = 0.01, most: int = 10_000_000) -> DataFrame:
+    """points (x, y, z and, if there, intensity, classification, gps_time) -> (name, content): LAS files of at most ``most`` points of a task each.
+
+    A file is held in its task's memory (30 bytes a point). Rows without a place are left out; other nulls are zero.
+    """
+    kinds = {"x": "double", "y": "double", "z": "double", "intensity": "int", "classification": "int", "gps_time": "double"}
+    rows = points.where("x is not null and y is not null and z is not null").select(*((F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) if c in points.columns else F.lit(0).cast(t)).alias(c) for c, t in kinds.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, number = [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def made() -> pa.RecordBatch:
+            columns = {c: np.concatenate([h[c] for h in held]) for c in kinds}
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{number:04d}.las"]), pa.array([file_of(columns, scale)], pa.binary())], names=["name", "content"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                piece = b.slice(at, most)
+                if count and count + piece.num_rows > most:
+                    yield made()
+                    held, count, number = [], 0, number + 1
+                held.append({c: piece.column(c).to_numpy(zero_copy_only=False) for c in kinds})
+                count += piece.num_rows
+        if count:
+            yield made()
+
+    return rows.mapInArrow(run, "name string, content binary")

@@ -46,3 +46,21 @@ def read_asc(spark: SparkSession, path: str) -> DataFrame:
     grid = files.select("path", corner("x").alias("x0"), corner("y").alias("y0"), of("cellsize").alias("gsd"), of("nrows").alias("n"), F.coalesce(of("nodata_value"), F.lit(-9999.0)).alias("none"), F.posexplode(rows).alias("row_", "line"))
     node = grid.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).withColumn("v", F.col("v").try_cast("double"))
     return node.select("path", "row_", "col", (F.col("x0") + F.col("col") * F.col("gsd")).alias("x"), (F.col("y0") + (F.col("n") - 1 - F.col("row_")) * F.col("gsd")).alias("y"), F.when(F.col("v") != F.col("none"), F.col("v")).alias("z"))
+
+
+def asc_lines(nodes: DataFrame, x0: float, y0: float, gsd: float, none: int = -9999, places: int = 2) -> DataFrame:
+    """nodes (row_, col, z) of a grid whose first node lies at x0, y0 -> (line, value): the lines of an ASC file in order, the six of its head first.
+
+    Rows and columns run from 0 to the largest there are; heights have ``places`` decimals, halves up; places without a height
+    hold ``none``. A line is one row of the grid.
+    """
+    size = nodes.agg(F.max("row_").alias("h"), F.max("col").alias("w"))  # one row
+    text = F.format_string(f"%.{places}f", F.floor(F.col("z") * 10**places + 0.5) / float(10**places))
+    cells = nodes.where("z is not null").groupBy("row_").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", text.alias("t"))))).alias("m"))
+    every = size.where("h is not null").select("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long"))).alias("row_"))
+    cell = lambda c: F.coalesce(F.try_element_at("m", c), F.lit(str(none)))
+    rows = every.join(cells, "row_", "left").select((F.col("row_") + 6).alias("line"), F.array_join(F.transform(F.sequence(F.lit(0).cast(nodes.schema["col"].dataType), F.col("w")), cell), " ").alias("value"))
+    corner = lambda v: F.format_string("%.3f", v)
+    head = {"ncols": (F.col("w") + 1).cast("string"), "nrows": (F.col("h") + 1).cast("string"), "xllcenter": corner(F.lit(x0)), "yllcenter": corner(y0 - F.col("h") * gsd), "cellsize": corner(F.lit(gsd)), "nodata_value": F.lit(str(none))}
+    lines = F.array(*(F.concat(F.lit(f"{k} "), v) for k, v in head.items()))
+    return size.where("h is not null").select(F.posexplode(lines).alias("line", "value")).select(F.col("line").cast("long"), "value").unionByName(rows)

@@ -1,7 +1,7 @@
 """TIFF and BigTIFF rasters: strips or tiles, without compression or by Deflate, LZW or PackBits, all predictors (TIFF 6.0 and its supplements).
 
 Files come through Spark's binary reader; a task turns one file into an Arrow batch for each strip or tile. The first
-image of a file is read; its overviews are not.
+image of a file is read; its overviews are not. Grids are written as a file for each square of nodes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, row_ long, col long, band int, x double, y double, value double"
 # fixed values: letters of the field types, and tag numbers
@@ -154,3 +156,38 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     """A row per pixel and band of each *.tif or *.tiff file under ``path``; x and y are the pixel's centre (null without a place), no-data is null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*").load(path).select("path", "content")
     return files.mapInArrow(_pixels, SCHEMA)
+
+
+def file_of(values: np.ndarray, x: float, y: float, gsd: float, none: float) -> bytes:
+    """A TIFF file of 32-bit floats in one Deflate strip; x and y are the first pixel's corner."""
+    body = zlib.compress(np.where(np.isnan(values), none, values).astype("<f4").tobytes())
+    body += b"\0" * (len(body) % 2)
+    extra = {SCALE: struct.pack("<3d", gsd, gsd, 0.0), TIE: struct.pack("<6d", 0.0, 0.0, 0.0, x, y, 0.0), NO_DATA: f"{none:.1f}".encode() + b"\0"}
+    kinds = {SCALE: (12, 3), TIE: (12, 6), NO_DATA: (2, len(extra[NO_DATA]))}
+    plain = {WIDTH: values.shape[1], HEIGHT: values.shape[0], BITS: 32, COMPRESSION: 8, 262: 1, STRIPS: 8, SAMPLES: 1, ROWS: values.shape[0], STRIP_BYTES: len(body), FORMAT: 3}
+    entries, at = [(t, 4, 1, v) for t, v in plain.items()], 8 + len(body)
+    for tag, raw in extra.items():
+        entries.append((tag, *kinds[tag], at))
+        at += len(raw)
+    table = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries)) + struct.pack("<I", 0)
+    return struct.pack("<2sHI", b"II", 42, at) + body + b"".join(extra.values()) + table
+
+
+def write_tiff(nodes: DataFrame, x0: float, y0: float, gsd: float, side: int = 512, none: float = -9999.0) -> DataFrame:
+    """nodes (row_, col, z) of a grid whose first node lies at x0, y0 -> (name, content): a TIFF file for each square of ``side`` nodes that has some.
+
+    A node is a pixel's centre. A square's nodes make one group, side x side at most, so no task holds more however large the
+    grid is. Places without a node, and null heights, are no-data; of nodes at one place the highest is taken. The last
+    square of a row or column is cut to the nodes that it has.
+    """
+    square = nodes.where("row_ is not null and col is not null").groupBy("row_", "col").agg(F.max("z").cast("double").alias("z"))
+    square = square.select(F.floor(F.col("row_") / side).alias("down"), F.floor(F.col("col") / side).alias("across"), F.col("row_").cast("long"), F.col("col").cast("long"), "z")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r, c = rows["row_"] - key[0] * side, rows["col"] - key[1] * side
+        values = np.full((r.max() + 1, c.max() + 1), np.nan)
+        values[r, c] = rows["z"]
+        corner = x0 + (key[1] * side - 0.5) * gsd, y0 - (key[0] * side - 0.5) * gsd
+        return pd.DataFrame({"name": [f"{key[0]:06d}-{key[1]:06d}.tif"], "content": [file_of(values, *corner, gsd, none)]})
+
+    return square.groupBy("down", "across").applyInPandas(run, "name string, content binary")

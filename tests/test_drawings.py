@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from geoloom.sources import drawings, tiff
+from geoloom.sources import drawings, las, text, tiff
 
 MIF = """Version 300
 Charset "WindowsLatin1"
@@ -179,3 +179,31 @@ def test_lzw_of_the_specification():
 def test_lzw_grows_its_codes():
     raw = bytes(np.random.default_rng(1).integers(0, 200, 900, np.uint8))
     assert tiff.unpack_lzw(_lzw(raw)) == raw
+
+
+def _put(files, folder):
+    for r in files.collect():
+        (folder / r["name"]).write_bytes(r["content"])
+
+
+def test_las_is_written_and_read(spark, tmp_path):
+    points = [(650000.0 + i / 7, 6860000.0 - i / 3, i / 9, i, i % 200, i * 0.5) for i in range(500)]
+    rows = spark.createDataFrame([*points, (None, 1.0, 1.0, 1, 1, 1.0)], "x double, y double, z double, intensity int, classification int, gps_time double").repartition(3)
+    _put(las.write_las(rows, 0.001, most=100), tmp_path)
+    got = sorted((r["intensity"], r["classification"], r["gps_time"], r["x"], r["y"], r["z"]) for r in las.read_las(spark, str(tmp_path)).collect())
+    assert len(list(tmp_path.iterdir())) >= 5 and len(got) == 500
+    assert all(g[:3] == (i, i % 200, i * 0.5) and max(abs(a - b) for a, b in zip(g[3:], p[:3], strict=True)) < 6e-4 for i, (g, p) in enumerate(zip(got, points, strict=True)))
+    assert las.write_las(rows.where("false")).count() == 0
+
+
+def test_grids_are_written_and_read(spark, tmp_path):
+    nodes = [(r, c, None if (r, c) == (2, 3) else r * 100 + c + 0.25) for r in range(9) for c in range(11) if (r + c) % 5]
+    grid = spark.createDataFrame(nodes, "row_ long, col long, z double")
+    (tmp_path / "t").mkdir()
+    _put(tiff.write_tiff(grid, 1000.0, 2000.0, 10.0, side=4), tmp_path / "t")
+    wanted = sorted((1000.0 + 10 * c, 2000.0 - 10 * r, z) for r, c, z in nodes if z is not None)
+    assert sorted((r["x"], r["y"], r["value"]) for r in tiff.read_tiff(spark, str(tmp_path / "t")).where("value is not null").collect()) == wanted
+    lines = [r["value"] for r in text.asc_lines(grid, 1000.0, 2000.0, 10.0).orderBy("line").collect()]
+    (tmp_path / "a.asc").write_text("\n".join(lines) + "\n")
+    assert sorted((r["x"], r["y"], r["z"]) for r in text.read_asc(spark, str(tmp_path / "a.asc")).where("z is not null").collect()) == wanted
+    assert tiff.write_tiff(grid.where("false"), 0.0, 0.0, 1.0).count() == 0 == text.asc_lines(grid.where("false"), 0.0, 0.0, 1.0).count()
