@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import exact_dedup, fingerprints, line_dedup, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from geoloom.llm import divergence, exact_dedup, filter_audit, fingerprints, line_dedup, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 from geoloom.llm.common import scratch
 
 
@@ -73,11 +73,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(listed, "shard").select("doc_id", "text_sha256", F.element_at(F.split("shard", "/"), -1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("added").alias("shard_version"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op8_line_dedup, op9_simhash, op10_sharding)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op8_line_dedup, op9_simhash, op10_sharding, op12_filter_audit, op13_source_divergence)}
 
 ORACLE = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
