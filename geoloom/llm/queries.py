@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import divergence, exact_dedup, filter_audit, fingerprints, line_dedup, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
+from geoloom.llm import divergence, exact_dedup, filter_audit, fingerprints, html_extract, line_dedup, packing, quality, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity
 from geoloom.llm.common import scratch
 
 
@@ -73,6 +73,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(listed, "shard").select("doc_id", "text_sha256", F.element_at(F.split("shard", "/"), -1).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("added").alias("shard_version"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -81,7 +86,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op8_line_dedup, op9_simhash, op10_sharding, op12_filter_audit, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_exact_dedup, op4_suffix_dedup, op5_packing, op6_sentencepiece, op7_toxicity, op8_line_dedup, op9_simhash, op10_sharding, op11_html_extract, op12_filter_audit, op13_source_divergence)}
 
 ORACLE = {
     "op3_exact_dedup": """
