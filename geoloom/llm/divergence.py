@@ -90,7 +90,7 @@ def _encode(least: int):
         per_term = np.bincount(np.cumsum(new) - 1, weights=group["docs"].to_numpy()[order]).astype(np.int64)
         kept = ordered[new][per_term >= least]
         if not len(kept):
-            return pd.DataFrame({c.split()[0]: [] for c in CHUNK.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in CHUNK.split(", ")})
         at = np.searchsorted(kept, found)
         hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == found)
         sources, src = np.unique(group["source"].to_numpy()[hit], return_inverse=True)

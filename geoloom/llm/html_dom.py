@@ -20,6 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head noscript template svg math select option button object audio video canvas datalist dialog map progress".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br nobr ruby rb rt rp".split())
+NO_BLOCK = INLINE | RAW | UNSEEN - {"head", "dialog"}
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OF_HEAD = frozenset("base link meta noscript script style template title".split())
@@ -116,7 +117,7 @@ def read(html: str) -> Page:
         for tag, _ in stack[to:]:
             open_tags[tag] -= 1
             links -= tag == "a"
-        if any(tag not in INLINE for tag, _ in stack[to:]):
+        if any(tag not in NO_BLOCK for tag, _ in stack[to:]):
             pieces.append((-1, ""))
             run = -1
         del stack[to:]
@@ -171,7 +172,7 @@ def read(html: str) -> Page:
                 cut(k)
             continue
         tail = m[3] or m[6] or ""
-        if tag not in INLINE:
+        if tag not in NO_BLOCK:
             if tag in CLOSES_P and (k := top_of({"p"}, BARRIER)):
                 cut(k)
             if tag in HEADINGS and stack[-1][0] in HEADINGS:

@@ -189,8 +189,8 @@ class Maker:
 
     def page(self) -> str:
         draw = self.draw
-        if draw.random() < 0.25:  # as good as no text: a title and a line or two
-            body = [f"<p>{self.words(1, 14)}</p>" for _ in range(draw.randint(1, 3))]
+        if draw.random() < 0.35:  # as good as no text: a title and a line or two
+            body = [draw.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>")).format(self.words(1, draw.choice((3, 14)))) for _ in range(draw.choice((1, 1, 2, 3)))]
         else:
             body = [self.block() for _ in range(draw.choice((1, 2, 3, 5, 8, 12, 20, 30)))]
         for kind in ("ad", "side", "share", "form", "notice", "nav"):
@@ -202,7 +202,9 @@ class Maker:
         hold = draw.choice(self.HOLD) if draw.random() < 0.6 else "article"
         main = f'<{hold}{self.name("content", 0.75)} data-truth="content">{title}{"".join(body)}</{hold}>'
         if hold == "td":
-            main = f"<table><tr><td data-truth='junk'>{self.links()}</td>{main}</tr></table>"
+            top = draw.choice(("", f"<tr><td colspan=2 data-truth='junk'><b>{self.words(1, 4)}</b></td></tr>", f"<tr><td data-truth='junk'><h1>{self.words(1, 4)}</h1></td></tr>"))
+            side = draw.choice((self.links(), "<br>".join(self.link() for _ in range(draw.randint(1, 6)))))
+            main = f"<table>{top}<tr><td data-truth='junk'>{side}</td>{main}</tr>{draw.choice(('', top))}</table>"
         before = [self.junk(k) for k, p in (("notice", 0.3), ("header", 0.6), ("nav", 0.8), ("form", 0.15), ("ad", 0.5), ("side", 0.15), ("share", 0.1)) if draw.random() < p]
         after = [self.junk(k) for k, p in (("share", 0.2), ("talk", 0.4), ("side", 0.35), ("ad", 0.2), ("form", 0.15), ("notice", 0.15), ("nav", 0.1)) if draw.random() < p]
         near = min(draw.randint(0, 2), len(before)), min(draw.randint(0, 3), len(after))  # these stand in the frame with the content
@@ -231,9 +233,10 @@ def fit(htmls: list[str], sets: int = SETS, seed: int = 11) -> Model:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, sets: int = SETS) -> Model:
     """At most ``max_pages`` pages reach the driver."""
-    ids = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"), F.col(html_col).alias("html"))
-    picked = ids.orderBy("h", "id", F.xxhash64("html")).limit(max_pages).collect()
-    return fit([r["html"] for r in picked], sets)
+    with_text = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    few = with_text.select("id", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h", "id").limit(max_pages).select("id").distinct()
+    picked = with_text.join(F.broadcast(few), "id").groupBy("id").agg(F.max("html").alias("html")).collect()
+    return fit([r["html"] for r in sorted(picked, key=lambda r: r["id"])], sets)
 
 
 def main_texts(model: Model) -> Callable[[list[str]], list[str]]:

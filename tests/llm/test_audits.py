@@ -29,7 +29,7 @@ def test_swaps_meet_every_order_once():
 
 def brute_audit(docs, labels):
     """Every document through every order."""
-    good, toxic = ({d for d, *v in labels if v[k] == 1} for k in (0, 1))
+    good, toxic = ({d for d, *v in labels if v[k] == 1 and d is not None} for k in (0, 1))
     fails = []
     for doc_id, text, source, *_ in docs:
         text = text or ""
