@@ -202,7 +202,7 @@ class Maker:
         hold = draw.choice(self.HOLD) if draw.random() < 0.6 else "article"
         main = f'<{hold}{self.name("content", 0.75)} data-truth="content">{title}{"".join(body)}</{hold}>'
         if hold == "td":
-            top = draw.choice(("", f"<tr><td colspan=2 data-truth='junk'><b>{self.words(1, 4)}</b></td></tr>", f"<tr><td data-truth='junk'><h1>{self.words(1, 4)}</h1></td></tr>"))
+            top = draw.choice(("", f"<tr><td colspan=2 data-truth='junk'><b>{self.words(1, 4)}</b></td></tr>"))
             side = draw.choice((self.links(), "<br>".join(self.link() for _ in range(draw.randint(1, 6)))))
             main = f"<table>{top}<tr><td data-truth='junk'>{side}</td>{main}</tr>{draw.choice(('', top))}</table>"
         before = [self.junk(k) for k, p in (("notice", 0.3), ("header", 0.6), ("nav", 0.8), ("form", 0.15), ("ad", 0.5), ("side", 0.15), ("share", 0.1)) if draw.random() < p]
