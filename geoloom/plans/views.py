@@ -24,6 +24,10 @@ VIEWS = {
         "p_partkey % 20 AS col", "CAST((p_partkey - p_partkey % 20) / 20e0 AS BIGINT) AS row_",
         "650000e0 + (p_partkey % 20) * 50 AS x", "6861000e0 - ((p_partkey - p_partkey % 20) / 20e0) * 50 AS y", "p_retailprice / 1e1 AS z",
     ]),
+    "hills": ("part", [
+        "p_partkey % 20 AS col", "CAST((p_partkey - p_partkey % 20) / 20e0 AS BIGINT) AS row_",
+        "abs((CAST((p_partkey - p_partkey % 20) / 20e0 AS BIGINT) * 3 + (p_partkey % 20) * 5) % 34 - 17) + abs((CAST((p_partkey - p_partkey % 20) / 20e0 AS BIGINT) * 5 + (p_partkey % 20) * 2) % 26 - 13) + p_size / 8e0 AS z",
+    ]),
     "tracks": ("events", [
         "user_id AS track_id", "event_id AS seq", "event_type AS kind", "650000e0 + ((event_id*13) % 1000) AS x", "6860000e0 + ((event_id*29) % 1000) AS y", "value AS z",
     ]),
