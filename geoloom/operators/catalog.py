@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.operators import terrain
+from geoloom.operators.shared import Written
 
 KEPT = 10
 
@@ -46,7 +47,7 @@ def robust_affinity(pairs: DataFrame, worst: float = 3.0) -> DataFrame:
     A round is one aggregate for the fit and one for its residuals; only these single rows reach the driver. Residuals that
     are only rounding (1e-9 of the largest coordinate) end it too. Every KEPT rounds the pairs that are left are written.
     """
-    spark, k = pairs.sparkSession, 0
+    spark, k, made = pairs.sparkSession, 0, Written(pairs.sparkSession)
     while True:
         fit = terrain.affinity(pairs).first()
         dx = F.col("x") * fit["a"] + F.col("y") * fit["b"] + fit["c"] - F.col("x2")
@@ -58,5 +59,7 @@ def robust_affinity(pairs: DataFrame, worst: float = 3.0) -> DataFrame:
             break
         pairs, k = pairs.where(res < found["worst"]), k + 1
         if k % KEPT == 0:
-            pairs = pairs.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else pairs.localCheckpoint()
+            pairs = made(pairs, "pairs")
+            made.drop(keep=1)
+    made.drop()
     return spark.createDataFrame([(*fit, found["n"], found["rms"])], "a double, b double, c double, d double, e double, f double, n long, rms double")

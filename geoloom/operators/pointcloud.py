@@ -47,10 +47,10 @@ def fill_holes(known: DataFrame, levels: int | None = None, size: DataFrame | No
     A level's mean is that of the level below, so the pyramid shrinks by four each time and a level costs one small shuffle.
     """
     size = known.agg(F.max("u").alias("mu"), F.max("v").alias("mv")) if size is None else size  # one row
-    if levels is None:
-        last = size.first()
-        levels = max(0, last["mu"] or 0, last["mv"] or 0).bit_length()
-    every = size.select(F.explode(F.sequence(F.lit(0).cast("long"), "mu")).alias("u"), "mv").select("u", F.explode(F.sequence(F.lit(0).cast("long"), "mv")).alias("v"))
+    last = size.first()
+    wide, high = (0 if last[c] is None else int(last[c]) + 1 for c in ("mu", "mv"))
+    levels = max(0, wide - 1, high - 1).bit_length() if levels is None else levels
+    every = known.sparkSession.range(wide * high).select(F.expr(f"id div {max(1, high)}").alias("u"), (F.col("id") % max(1, high)).alias("v"))  # made in all tasks
     out, level, z = every.join(known, ["u", "v"], "left"), known, F.col("z")
     for k in range(1, levels + 1):
         half: list[Column] = [F.shiftright(c, 1).alias(c) for c in ("u", "v")]

@@ -56,7 +56,7 @@ def resample_linear(nodes: DataFrame) -> DataFrame:
 @register("las_points", sql="""+ e AS (SELECT las_id, classification AS depth, intensity AS place, count(*) n FROM las_points GROUP BY 1, 2, 3)
     SELECT las_id, depth, place, n, CAST(sum(n) OVER (PARTITION BY las_id ORDER BY place, depth) - n AS BIGINT) AS first FROM e""")
 def entry_points(points: DataFrame) -> DataFrame:
-    """Number of the first point of each entry of a file's pyramid, entries in the order of their places."""
+    """Number of the first point of each entry of a file's pyramid, entries in the order of their places (points before them only; adding the entry's own number too would skip points)."""
     entries = points.groupBy("las_id", F.col("classification").alias("depth"), F.col("intensity").alias("place")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("las_id").orderBy("place", "depth")) - F.col("n")
     return entries.select("las_id", "depth", "place", "n", before.alias("first"))
@@ -76,7 +76,7 @@ def cells_in_frame(points: DataFrame) -> DataFrame:
     SELECT t.track_id, t.kind, min(t.seq) since FROM tracks t JOIN gone g ON t.track_id = g.track_id AND t.kind = g.kind WHERE g.last IS NULL OR t.seq > g.last GROUP BY 1, 2)
     SELECT track_id, kind AS layer, since, row_number() OVER (PARTITION BY track_id ORDER BY since) AS zorder FROM born""")
 def catalog_layers(events: DataFrame) -> DataFrame:
-    """Layers of each base after all its additions (found or created, last in order) and removals (each fifth event)."""
+    """Layers of each base after all its additions (found or created, last in order) and removals (each fifth event); zorder counts the layers that are left, without gaps."""
     gone = events.groupBy("track_id", "kind").agg(F.max(F.when(F.col("seq") % 5 == 0, F.col("seq"))).alias("last"))
     born = events.join(gone, ["track_id", "kind"]).where("last is null or seq > last").groupBy("track_id", "kind").agg(F.min("seq").alias("since"))
     return born.select("track_id", F.col("kind").alias("layer"), "since", F.row_number().over(Window.partitionBy("track_id").orderBy("since")).alias("zorder"))

@@ -242,13 +242,11 @@ def index_render(pixels):
     return pixels.select("scene", "pixel", shown(ndvi, 0.6).alias("green"), shown(ndwi, 0.0).alias("blue"))
 
 
-STOP = next(k for k in range(64) if 100.0 / 2**k < 8.0)
-
-
-@register("las_points", sql=f"SELECT las_id, l_orderkey, l_linenumber FROM las_points WHERE classification <= {STOP}")
+@register("las_points", sql="SELECT las_id, l_orderkey, l_linenumber FROM las_points WHERE 100 / pow(2, classification) >= 8")
 def detail_limit(points):
-    """Points of the octree levels down to the first that is finer than 8 m, where level 0 is 100 m apart."""
-    return points.where(F.col("classification") <= STOP).select("las_id", "l_orderkey", "l_linenumber")
+    """Points of the octree levels that are at least 8 m apart, where level 0 is 100 m apart: reading stops before the first finer level."""
+    stop = next(k for k in range(64) if 100.0 / 2**k < 8.0)
+    return points.where(F.col("classification") < stop).select("las_id", "l_orderkey", "l_linenumber")
 
 
 @register("las_points", sql="SELECT las_id, l_orderkey, l_linenumber FROM las_points ORDER BY las_id, l_orderkey, l_linenumber, x, y, z LIMIT 1000")

@@ -34,12 +34,14 @@ def _levels(n: int) -> str:
     return "".join(out)
 
 
-@register("las_points", sql=CELLS + ", known AS (SELECT u, v, avg(z) z FROM cells WHERE intensity = 7 AND classification = 1 GROUP BY ALL), size AS (SELECT max(u) mu, max(v) mv FROM known)" + _levels(3) + """,
+@register("las_points", sql=CELLS + ", known AS (SELECT u, v, avg(z) z FROM cells GROUP BY ALL), size AS (SELECT max(u) mu, max(v) mv FROM known)" + _levels(5) + """,
     every AS (SELECT u, v FROM (SELECT unnest(range(0, mu + 1)) u, mv FROM size), LATERAL (SELECT unnest(range(0, mv + 1)) v))
-    SELECT e.u, e.v, round(coalesce(k.z, l1.z, l2.z, l3.z), 6) z FROM every e LEFT JOIN known k ON e.u=k.u AND e.v=k.v LEFT JOIN l1 ON e.u//2=l1.u AND e.v//2=l1.v LEFT JOIN l2 ON e.u//4=l2.u AND e.v//4=l2.v LEFT JOIN l3 ON e.u//8=l3.u AND e.v//8=l3.v""")
+    SELECT e.u, e.v, round(coalesce(k.z, l1.z, l2.z, l3.z, l4.z, l5.z) + 1e-9, 6) z FROM every e LEFT JOIN known k ON e.u=k.u AND e.v=k.v LEFT JOIN l1 ON e.u//2=l1.u AND e.v//2=l1.v LEFT JOIN l2 ON e.u//4=l2.u AND e.v//4=l2.v LEFT JOIN l3 ON e.u//8=l3.u AND e.v//8=l3.v
+    LEFT JOIN l4 ON e.u//16=l4.u AND e.v//16=l4.v LEFT JOIN l5 ON e.u//32=l5.u AND e.v//32=l5.v""")
 def las_fill_hole(points):
+    """The rectangle of the cells that have points of the classes, all levels."""
     at = pointcloud.cells(points.where(F.col("classification").isin(1, 2, 3)), GSD)
-    return pointcloud.fill_holes(at.where("intensity = 7 AND classification = 1").groupBy("u", "v").agg(F.avg("z").alias("z")), 3)
+    return pointcloud.fill_holes(at.groupBy("u", "v").agg(F.avg("z").alias("z"))).withColumn("z", F.col("z") + 1e-9)  # as in las_grid
 
 
 @register("las_points", sql=CELLS + ", known AS (SELECT u, v, avg(z) z FROM cells GROUP BY ALL), size AS (SELECT CAST(round((x1-x0)/5e1) AS BIGINT) - 1 mu, CAST(round((y1-y0)/5e1) AS BIGINT) - 1 mv FROM ext)" + _levels(5) + """,
@@ -234,4 +236,4 @@ def style_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["style_filter"] = style_filter
 ORACLE["style_filter"] = "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND coalesce(json_extract_string(props, '$.k') <> '7', true)"
 
-from geoloom.plans import image_queries, line_queries, map_queries, relief_queries, scalar_queries  # noqa: E402, F401 - they register their queries
+from geoloom.plans import file_queries, image_queries, line_queries, map_queries, relief_queries, scalar_queries  # noqa: E402, F401 - they register their queries

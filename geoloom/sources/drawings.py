@@ -71,15 +71,20 @@ def read_dxf(spark: SparkSession, path: str) -> DataFrame:
     own = ~F.col("entity").isin("VERTEX", "SEQEND")
     first = lambda code: F.min_by(F.when((F.col("code") == code) & own, F.col("value")), F.when((F.col("code") == code) & own, F.col("pos")))
     placed = F.col("entity") != "POLYLINE"  # its own coordinates are none
-    inner = lambda *codes: F.transform(F.array_sort(F.collect_list(F.when(F.col("code").isin(*codes) & placed, F.struct("pos", F.col("value").try_cast("double").alias("v"))))), lambda p: p["v"])
+    coordinate = lambda *codes: F.max(F.when(F.col("code").isin(*codes), F.col("value").try_cast("double")))
+    begins = F.sum((F.col("code").isin(10, 11) & placed).cast("long")).over(order)  # a vertex is its first coordinate and what follows
+    each = pairs.where("section = 'ENTITIES'").withColumn("vertex", begins).where(placed & F.col("code").isin(10, 11, 20, 21, 30, 31))
+    each = each.groupBy("path", "feature", "vertex").agg(coordinate(10, 11).alias("x"), coordinate(20, 21).alias("y"), coordinate(30, 31).alias("z")).where("x is not null")
+    each = each.groupBy("path", "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("vertex", "x", "y", "z"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("all"))
     made = pairs.where("section = 'ENTITIES'").groupBy("path", "feature").agg(
         first(0).alias("kind"), first(8).alias("layer"), first(1).alias("text"), (F.coalesce(first(70).try_cast("int"), F.lit(0)).bitwiseAND(1) == 1).alias("flag"),
-        inner(10, 11).alias("x"), inner(20, 21).alias("y"), inner(30, 31).alias("z"),
+        first(38).try_cast("double").alias("elevation"),
     )
-    made = made.where(F.col("kind").isin(*DXF_KINDS))
+    made = made.where(F.col("kind").isin(*DXF_KINDS)).join(each, ["path", "feature"], "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<x:double,y:double,z:double>>")))
+    made = made.withColumn("all", F.transform("all", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.coalesce(p["z"], F.col("elevation")).alias("z"))))
     line = F.col("kind").isin("LINE", "POLYLINE", "LWPOLYLINE")
-    count = F.when(line, F.size("x")).otherwise(F.least(F.size("x"), F.lit(1)))
-    vertices = F.slice(F.arrays_zip("x", "y", "z"), F.lit(1), count)
+    count = F.when(line, F.size("all")).otherwise(F.least(F.size("all"), F.lit(1)))
+    vertices = F.slice("all", F.lit(1), count)
     made = made.select("path", "feature", "kind", "layer", "text", (F.col("flag") & F.col("kind").isin("POLYLINE", "LWPOLYLINE")).alias("closed"), vertices.alias("v"))
     open_end = F.col("closed") & (F.size("v") > 0) & ~F.get("v", F.lit(0)).eqNullSafe(F.element_at("v", -1))
     return made.select("path", "feature", "kind", "layer", "text", "closed", F.when(open_end, F.concat("v", F.slice("v", 1, 1))).otherwise(F.col("v")).alias("vertices"))

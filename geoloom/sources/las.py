@@ -1,7 +1,7 @@
 """LAS point clouds, formats 0 to 10 without compression (ASPRS LAS 1.2 to 1.4).
 
 Files come through Spark's binary reader, so any store that Spark reads will do; a task turns one file into Arrow batches
-of BATCH points. Only the fields that all formats share are returned.
+of BATCH points; a file that is cut short is an error. Only the fields that all formats share are returned.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
             data = content.as_buffer()
             h = header(data.slice(0, min(HEADER, data.size)).to_pybytes())
-            h["count"] = min(h["count"], (data.size - h["start"]) // h["size"])  # a file may be cut short
+            if h["start"] + h["count"] * h["size"] > data.size:
+                raise ValueError(f"{path} is cut short: {data.size} bytes do not hold {h['count']} points")
             kind = layout(h["format"], h["size"])
             for lo in range(0, h["count"], BATCH):
                 p = np.frombuffer(data, kind, min(BATCH, h["count"] - lo), h["start"] + lo * h["size"])

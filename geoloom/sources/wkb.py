@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 KINDS = {1: "point", 2: "line", 3: "polygon", 4: "multipoint", 5: "multiline", 6: "multipolygon", 7: "collection"}  # fixed values
 POINT = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
@@ -94,10 +95,14 @@ def as_rows(pts: np.ndarray) -> list[dict]:
 
 
 def from_wkb(rows: DataFrame, column: str) -> DataFrame:
-    """rows with the geometry of a binary column as kind, parts, pts; null stays null."""
-    names, schema = [*rows.columns], rows.schema
-    for field in ("kind string", "parts array<int>", "pts array<struct<x:double,y:double,z:double>>"):
-        name, kind = field.split(" ", 1)
+    """rows with the geometry of a binary column as kind, parts, pts, with underscores where rows have such columns; null stays null."""
+    names, schema = [*rows.columns], StructType([*rows.schema.fields])
+    vertex = StructType([StructField(c, DoubleType()) for c in "xyz"])
+    made_names = []
+    for name, kind in (("kind", StringType()), ("parts", ArrayType(IntegerType())), ("pts", ArrayType(vertex))):
+        while name.lower() in {c.lower() for c in names}:
+            name += "_"
+        made_names.append(name)
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +110,6 @@ def from_wkb(rows: DataFrame, column: str) -> DataFrame:
             made = [(None, None, None) if x is None else ((d := decode(x))[0], d[1], as_rows(d[2])) for x in b.column(column).to_pylist()]
             kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(POINT))
             new = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, "kind", "parts", "pts"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, *made_names])
 
     return rows.mapInArrow(run, schema)

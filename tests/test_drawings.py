@@ -84,6 +84,16 @@ def test_dxf(spark, tmp_path):
     ]
 
 
+def test_dxf_heights(spark, tmp_path):
+    """A vertex without height has none, or its line's elevation; the next one's is not taken."""
+    polyline = [(0, "POLYLINE"), (70, 0), (10, 0), (20, 0), (0, "VERTEX"), (10, 1), (20, 1), (0, "VERTEX"), (10, 2), (20, 2), (30, 77), (0, "SEQEND")]
+    flat = [(0, "LWPOLYLINE"), (38, 12.5), (70, 0), (10, 0), (20, 1), (10, 2), (20, 3)]
+    pairs = [(0, "SECTION"), (2, "ENTITIES"), *polyline, *flat, (0, "ENDSEC"), (0, "EOF")]
+    (tmp_path / "a.dxf").write_text("".join(f"{c:>3}\n{v}\n" for c, v in pairs))
+    rows = drawings.read_dxf(spark, str(tmp_path)).orderBy("feature").collect()
+    assert [[tuple(v) for v in r["vertices"]] for r in rows] == [[(1, 1, None), (2, 2, 77)], [(0, 1, 12.5), (2, 3, 12.5)]]
+
+
 def test_world(spark, tmp_path):
     (tmp_path / "a.tfw").write_text("0.5\n0\n0\n-0.5\n1000.25\n1999.75\n")
     (tmp_path / "b.tfw").write_text("0.5\n0\n")

@@ -99,3 +99,14 @@ def test_shapefiles_round_trip(spark, tmp_path):
             for place, size in np.frombuffer(f["content"][100:], ">i4").reshape(-1, 2):
                 assert struct.unpack_from(">i", shp, 2 * place + 4)[0] == size
     assert shapefile.write_shapefiles(frame.where("false")).count() == 0
+
+
+def test_from_wkb(spark):
+    line = wkb.encode("line", [0], np.array([[1.0, 2, 3], [4, 5, 6]]))
+    flat = wkb.encode("polygon", [0, 3], np.array([[0.0, 0, np.nan], [1, 0, np.nan], [0, 0, np.nan], [5, 5, np.nan], [6, 5, np.nan], [5, 5, np.nan]]))
+    rows = spark.createDataFrame([(1, line, "own"), (2, flat, None), (3, None, "x")], "id int, g binary, KIND string")
+    out = wkb.from_wkb(rows, "g").orderBy("id")
+    assert out.columns == ["id", "g", "KIND", "kind_", "parts", "pts"] and rows.columns == ["id", "g", "KIND"]
+    got = [(r["KIND"], r["kind_"], r["parts"], None if r["pts"] is None else [tuple(p) for p in r["pts"]]) for r in out.collect()]
+    assert got[0] == ("own", "line", [0], [(1, 2, 3), (4, 5, 6)]) and got[2] == ("x", None, None, None)
+    assert got[1][1:3] == ("polygon", [0, 3]) and got[1][3][3] == (5, 5, None)

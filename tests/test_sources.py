@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.sources import las, shapefile, text
+from geoloom.sources.files import store
 
 
 def _las(minor: int, kind: int, points: list) -> bytes:
@@ -74,3 +75,15 @@ def test_points_and_grid(spark, tmp_path):
     (tmp_path / "g.asc").write_text("ncols 3\nnrows 2\nxllcorner 100\nyllcorner 200\ncellsize 10\nNODATA_value -9999\n1 2 3\n4 -9999 6.5\n")
     got = text.read_asc(spark, str(tmp_path / "g.asc")).orderBy("row_", "col").collect()
     assert [tuple(r)[1:] for r in got] == [(0, 0, 105, 215, 1), (0, 1, 115, 215, 2), (0, 2, 125, 215, 3), (1, 0, 105, 205, 4), (1, 1, 115, 205, None), (1, 2, 125, 205, 6.5)]
+
+
+def test_las_cut_short(spark, tmp_path):
+    (tmp_path / "a.las").write_bytes(_las(2, 0, [(1, 2, 3, 4, 5, 6)] * 3)[:-1])
+    with pytest.raises(Exception, match="cut short"):
+        las.read_las(spark, str(tmp_path)).count()
+
+
+def test_stored_files(spark, tmp_path):
+    rows = [("a.bin", b"one"), ("b.bin", b""), ("a.bin", b"one")]  # a name twice, as when a task runs twice
+    assert store(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / "new" / "folder")) == 3
+    assert {p.name: p.read_bytes() for p in (tmp_path / "new" / "folder").iterdir() if p.suffix == ".bin" and p.name[0] != "."} == {"a.bin": b"one", "b.bin": b""}
