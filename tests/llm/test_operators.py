@@ -449,9 +449,31 @@ def _distance(a, b):
 @given(st.text(alphabet="ab", max_size=9), st.text(alphabet="ab", max_size=9), st.integers(0, 3))
 def test_within(a, b, threshold):
     assert line_dedup.within(a, b, threshold) == (_distance(a, b) <= threshold)
-    near, leaves, follows, *_ = line_dedup.against(b, a, threshold)
     reach = max(y for y in range(len(b) + 1) if any(_distance(a[:x], b[:y]) <= threshold for x in range(len(a) + 1)))
-    assert near == (_distance(a, b) <= threshold) and (near or follows == reach) and a[:leaves] == b[:leaves] and a[leaves : leaves + 1] != b[leaves : leaves + 1] or a == b
+    assert line_dedup.follow(a, b, threshold) == (len(b) + 1 if _distance(a, b) <= threshold else reach)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=9), st.text(alphabet="ab", max_size=9), st.integers(1, 3))
+def test_split_until_done(a, b, threshold):
+    """Two texts come to a common finished key of splits exactly if they are within the threshold: a is looked for, b looks."""
+
+    def keys(text, own):
+        found, rows = set(), []
+        begun = line_dedup._windows([(threshold, len(a), text)])
+        if begun:
+            rows.append((0, own, begun[0]))
+        while rows:
+            g, mine, windows = rows.pop()
+            for to, by_own, done, left in line_dedup.split(g, mine, windows):
+                if done:
+                    found.add((to, by_own))
+                else:
+                    rows.append((to, by_own, left))
+        return found
+
+    own = {g for g, mine in keys(a, True) if mine}
+    assert bool(own & {g for g, _ in keys(b, False)}) == (_distance(a, b) <= threshold)
 
 
 @pytest.mark.parametrize("threshold", [1, 2, 3])
@@ -503,6 +525,23 @@ def test_line_groups_are_not_paired_out(spark):
     assert set(found) <= near and _joined(found) == _joined(near)
 
 
+def test_candidates_grow_with_the_lines(spark):
+    """Lines of one template with a number at random, with one, two and three edits allowed, and a family of near copies."""
+    rng = random.Random(4)
+    made = {
+        "short": lambda: f"Order number {rng.randrange(10**6):06d} was received and will be sent soon.",
+        "long": lambda: f"Order number {rng.randrange(10**6):06d} was received on day {rng.randrange(365)} of the year and will be sent to the address that you gave us " + "as soon as it can be sent. " * 4,
+        "family": lambda: (lambda s, k: s[:k] + rng.choice("XYZ") + s[k + 1 :])("A line that many documents share but for a letter that someone has typed in another way.", rng.randrange(80)),
+    }
+    for name, line in made.items():
+        for n in (150, 600):
+            texts = sorted({line() for _ in range(n)})
+            every = line_dedup.lines(line_dedup.documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+            found, _ = line_dedup.candidates(every.where(F.col("n") >= line_dedup.LEAST), None)
+            count = sum(f.count() for f in found)
+            assert count < 12 * len(texts), (name, n, count)  # groups of SMALL lines at most are paired, and a line is in a few of them
+
+
 def test_edits_of_very_long_lines():
     a = "abcdefghij" * 20_000
     assert line_dedup.within("x" + a, a[:-1] + "y", 3) and not line_dedup.within("xyzw" + a, a, 3) and line_dedup.within(a[1:], a[:-1], 2)
