@@ -236,4 +236,4 @@ def style_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["style_filter"] = style_filter
 ORACLE["style_filter"] = "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND coalesce(json_extract_string(props, '$.k') <> '7', true)"
 
-from geoloom.plans import file_queries, image_queries, line_queries, map_queries, raster_queries, relief_queries, scalar_queries  # noqa: E402, F401 - they register their queries
+from geoloom.plans import file_queries, image_queries, line_queries, map_queries, outline_queries, raster_queries, relief_queries, scalar_queries  # noqa: E402, F401 - they register their queries
