@@ -42,7 +42,7 @@ def self_crossings(points: DataFrame) -> DataFrame:
     e AS (SELECT id, x, y, lead(x, 1, x0) OVER w AS x2, lead(y, 1, y0) OVER w AS y2 FROM (SELECT *, first(x) OVER u AS x0, first(y) OVER u AS y0 FROM v WINDOW u AS (PARTITION BY id ORDER BY k)) WINDOW w AS (PARTITION BY id ORDER BY k)),
     c AS (SELECT id, x + (cy - y) / (y2 - y) * (x2 - x) AS xx FROM e JOIN f USING (id) WHERE (y <= cy) <> (y2 <= cy)), r AS (SELECT id, xx, lead(xx) OVER w AS to_, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY id ORDER BY xx)),
     b AS (SELECT id, (xx + to_) / 2 AS x FROM r WHERE k % 2 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY to_ - xx DESC, k) = 1)
-    SELECT id, round(coalesce(b.x, cx), 4) AS x, round(cy, 4) AS y FROM f LEFT JOIN b USING (id)""")
+    SELECT id, CAST(floor(coalesce(b.x, cx) * 1000 + 5e-1) AS BIGINT) AS x_mm, CAST(floor(cy * 1000 + 5e-1) AS BIGINT) AS y_mm FROM f LEFT JOIN b USING (id)""")
 def label_points(points: DataFrame) -> DataFrame:
-    """A place for the label of each line taken as a ring."""
-    return outlines.label_points(lines.build(points)).select("id", *(F.round(c, 4).alias(c) for c in "xy"))
+    """A place for the label of each line taken as a ring, in millimetres (doubles that end in a half are rounded differently by engines)."""
+    return outlines.label_points(lines.build(points)).select("id", *(F.floor(F.col(c) * 1000 + 0.5).alias(f"{c}_mm") for c in "xy"))
