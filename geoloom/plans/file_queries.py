@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.operators.shared import folder
 from geoloom.plans.map_queries import FRAME
 from geoloom.plans.registry import r6, register
-from geoloom.sources import copc, las, shapefile, tiff
+from geoloom.sources import cog, copc, las, shapefile, tiff
 from geoloom.sources.files import store
 
 
@@ -51,3 +51,14 @@ def copc_cells(points: DataFrame) -> DataFrame:
     store(copc.write_hierarchies(cells, (650000.0, 6860000.0, 0.0), 1000.0, 100.0, 2), at)
     found = copc.entries(points.sparkSession, at, FRAME, 20.0)
     return found.select(F.regexp_extract("path", r"([^/]+)\.copc\.laz$", 1).alias("las_id"), "level", F.col("x").alias("i"), F.col("y").alias("j"), F.col("point_count").alias("n"))
+
+
+@register("hills", sql=f"""+ m AS (SELECT row_ // 4 AS row_, col // 4 AS col, CAST(CAST(avg(z) AS FLOAT) AS DOUBLE) AS z FROM (SELECT row_ // 2 * 2 AS row_, col // 2 * 2 AS col, avg(z) AS z FROM hills GROUP BY 1, 2) GROUP BY 1, 2)
+    SELECT CAST(4 AS BIGINT) AS factor, 650000 + (col * 4 + 15e-1) * 50 AS x, 6861000 - (row_ * 4 + 15e-1) * 50 AS y, round(z, 3) AS value FROM m
+    WHERE 650000 + (col * 4 + 15e-1) * 50 BETWEEN {FRAME.xmin} AND {FRAME.xmax} AND 6861000 - (row_ * 4 + 15e-1) * 50 BETWEEN {FRAME.ymin} AND {FRAME.ymax}""")
+def cog_overviews(nodes: DataFrame) -> DataFrame:
+    """The grid as pyramids of tiles, and of these the pixels of a frame at five nodes a pixel or the next finer level."""
+    at = folder(nodes.sparkSession, "cog")
+    store(cog.write_cogs(nodes, 650000.0, 6861000.0, 50.0, 32, 4, 3), at)
+    found = cog.read_cog(nodes.sparkSession, at, 5.0, FRAME)
+    return found.where("value is not null").select("factor", "x", "y", F.round("value", 3).alias("value"))

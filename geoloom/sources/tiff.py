@@ -1,14 +1,15 @@
 """TIFF and BigTIFF rasters: strips or tiles, without compression or by Deflate, LZW or PackBits, all predictors (TIFF 6.0 and its supplements).
 
 Files come through Spark's binary reader; a task turns one file into an Arrow batch for each strip or tile. The first
-image of a file is read; its overviews are not. Grids are written as a file for each square of nodes.
+image of a file is read; ``cog`` reads overviews and frames. Grids are written as a file for each square of nodes.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,24 +24,43 @@ WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PR
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT, SCALE, TIE, GEO_KEYS, NO_DATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
 
 
-def tags(data: memoryview) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the values of the first image's tags."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    version = struct.unpack_from(f"{order}H", data, 2)[0] if order else 0
+@dataclass(frozen=True)
+class Kind:
+    """Byte order and widths of a file: TIFF or BigTIFF."""
+
+    order: str
+    big: bool
+
+    def directory(self, read: Callable[[int, int], bytes], at: int) -> tuple[dict[int, tuple], int]:
+        """The values of the tags of the image whose directory is at a place, and the place of the next one (0: none)."""
+        word, entry, room, head = ("Q", 20, 8, 8) if self.big else ("I", 12, 4, 2)
+        (count,) = struct.unpack(self.order + ("Q" if self.big else "H"), read(at, head))
+        data, out = read(at + head, count * entry + room), {}
+        for place in range(0, count * entry, entry):
+            tag, kind, n = struct.unpack_from(f"{self.order}HH{word}", data, place)
+            if kind in TYPES:
+                layout = self.order + TYPES[kind] * n
+                size, value = struct.calcsize(layout), place + entry - room
+                out[tag] = struct.unpack(layout, data[value : value + size] if size <= room else read(struct.unpack_from(self.order + word, data, value)[0], size))
+        return out, struct.unpack_from(self.order + word, data, count * entry)[0]
+
+
+def opened(read: Callable[[int, int], bytes]) -> tuple[Kind, int]:
+    """Of a file given by a function that reads (place, size): its kind and its first directory."""
+    start = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(bytes(start[:2]))
+    version = struct.unpack_from(f"{order}H", start, 2)[0] if order else 0
     if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    word, entry, room = ("I", 12, 4) if version == 42 else ("Q", 20, 8)
-    (at,) = struct.unpack_from(order + word, data, 4 if version == 42 else 8)
-    (count,) = struct.unpack_from(order + ("H" if version == 42 else "Q"), data, at)
-    at += 2 if version == 42 else 8
-    out = {}
-    for place in range(at, at + count * entry, entry):
-        tag, kind, n = struct.unpack_from(f"{order}HH{word}", data, place)
-        if kind in TYPES:
-            layout = order + TYPES[kind] * n
-            value = place + entry - room
-            out[tag] = struct.unpack_from(layout, data, value if struct.calcsize(layout) <= room else struct.unpack_from(order + word, data, value)[0])
-    return order, out
+    kind = Kind(order, version == 43)
+    return kind, struct.unpack(order + "Q", read(8, 8))[0] if kind.big else struct.unpack_from(order + "I", start, 4)[0]
+
+
+def tags(data: memoryview) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the values of the first image's tags."""
+    read = lambda at, size: bytes(data[at : at + size])
+    kind, first = opened(read)
+    return kind.order, kind.directory(read, first)[0]
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -104,26 +124,39 @@ def pixels(data: bytes, kind: np.dtype, shape: tuple[int, int, int], predictor:
     return np.add.accumulate(out, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else out
 
 
+class Blocks:
+    """How an image is cut into strips or tiles: ``starts`` and ``sizes`` are their places in the file."""
+
+    def __init__(self, order: str, t: dict[int, tuple]) -> None:
+        if len(set(t.get(BITS, (1,)))) > 1 or t.get(BITS, (1,))[0] not in (8, 16, 32, 64):
+            raise ValueError("bits of a sample")
+        self.width, self.height, self.samples = t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, (1,))[0]
+        self.kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[t.get(FORMAT, (1,))[0]]}{t[BITS][0] // 8}")
+        self.tiled, self.apart = TILES in t, t.get(PLANAR, (1,))[0] == 2
+        self.w, self.h = (t[TILE_WIDTH][0], t[TILE_HEIGHT][0]) if self.tiled else (self.width, min(self.height, t.get(ROWS, (self.height,))[0]))
+        self.starts, self.sizes = (t[TILES], t[TILE_BYTES]) if self.tiled else (t[STRIPS], t[STRIP_BYTES])
+        self.across, self.down = -(-self.width // self.w), -(-self.height // self.h)
+        self.compression, self.predictor = t.get(COMPRESSION, (1,))[0], t.get(PREDICTOR, (1,))[0]
+
+    def place(self, k: int) -> tuple[int, int, int]:
+        """First row and column of block k, and its band."""
+        band, place = divmod(k, self.across * self.down) if self.apart else (0, k)
+        return place // self.across * self.h, place % self.across * self.w, band
+
+    def decoded(self, k: int, data: bytes) -> tuple[int, int, int, np.ndarray]:
+        """First row, column and band of block k, and its pixels inside the image."""
+        r, c, band = self.place(k)
+        rows = self.h if self.tiled else min(self.h, self.height - r)
+        made = pixels(unpacked(data, self.compression), self.kind, (rows, self.w, 1 if self.apart else self.samples), self.predictor)
+        return r, c, band, made[: self.height - r, : self.width - c]
+
+
 def blocks(data: memoryview) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """First row, column and band of each strip or tile, and its pixels inside the image."""
-    order, t = tags(data)
-    width, height, samples = t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, (1,))[0]
-    if len(set(t.get(BITS, (1,)))) > 1 or t.get(BITS, (1,))[0] not in (8, 16, 32, 64):
-        raise ValueError("bits of a sample")
-    kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[t.get(FORMAT, (1,))[0]]}{t[BITS][0] // 8}")
-    tiled = TILES in t
-    w, h = (t[TILE_WIDTH][0], t[TILE_HEIGHT][0]) if tiled else (width, min(height, t.get(ROWS, (height,))[0]))
-    starts, sizes = (t[TILES], t[TILE_BYTES]) if tiled else (t[STRIPS], t[STRIP_BYTES])
-    apart = t.get(PLANAR, (1,))[0] == 2
-    across, down = -(-width // w), -(-height // h)
-    for k, (start, size) in enumerate(zip(starts, sizes, strict=True)):
-        if not size:  # a block that was never written
-            continue
-        band, place = divmod(k, across * down) if apart else (0, k)
-        r, c = place // across * h, place % across * w
-        rows = h if tiled else min(h, height - r)
-        made = pixels(unpacked(bytes(data[start : start + size]), t.get(COMPRESSION, (1,))[0]), kind, (rows, w, 1 if apart else samples), t.get(PREDICTOR, (1,))[0])
-        yield r, c, band, made[: height - r, : width - c]
+    """First row, column and band of each strip or tile, and its pixels inside the image; blocks that were never written are left out."""
+    cut = Blocks(*tags(data))
+    for k, (start, size) in enumerate(zip(cut.starts, cut.sizes, strict=True)):
+        if size:
+            yield cut.decoded(k, bytes(data[start : start + size]))
 
 
 def placing(t: dict[int, tuple]) -> tuple[float, float, float, float] | None:
