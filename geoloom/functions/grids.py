@@ -38,21 +38,24 @@ def window(x0: Column, y0: Column, x1: Column, y1: Column, origin: tuple[float,
     return {"u": u, "v": v, "w": u1 - u, "h": v1 - v, "r": r, "s": s, "wr": away((u1 * gsd + left - x0) / shown) - r, "hs": away((y1 - (top - v1 * gsd)) / shown) - s}
 
 
-def nearest(a: Column, b: Column, t: float) -> Column:
-    return a if t <= 0.5 else b
+# the offset t of these kernels is a number, or a column: then each row has its own
 
 
-def linear(a: Column, b: Column, t: float) -> Column:
+def nearest(a: Column, b: Column, t: float | Column) -> Column:
+    return F.when(F.lit(t) <= 0.5, a).otherwise(b)
+
+
+def linear(a: Column, b: Column, t: float | Column) -> Column:
     return a + (b - a) * t
 
 
-def lagrange(p: Column, a: Column, b: Column, c: Column, t: float) -> Column:
+def lagrange(p: Column, a: Column, b: Column, c: Column, t: float | Column) -> Column:
     """The cubic through four values at -1, 0, 1, 2."""
     weights = (-t * (t - 1) * (t - 2) / 6, (t + 1) * (t - 1) * (t - 2) / 2, -(t + 1) * t * (t - 2) / 2, (t + 1) * t * (t - 1) / 6)
     return sum((k * w for k, w in zip((p, a, b, c), weights, strict=True)), F.lit(0.0))
 
 
-def convolution(p: Column, a: Column, b: Column, c: Column, t: float) -> Column:
+def convolution(p: Column, a: Column, b: Column, c: Column, t: float | Column) -> Column:
     """Cubic convolution with a slope of -1 at one pixel's distance."""
     near, far = lambda d: (d - 2) * d * d + 1, lambda d: -((d - 5) * d + 8) * d + 4
     weights = (far(1 + t), near(t), near(1 - t), far(2 - t))

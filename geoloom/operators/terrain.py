@@ -6,19 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SIDES = {"east": (0, -1), "west": (0, 1), "south": (-1, 0), "north": (1, 0)}  # from a node to the one of which it is the neighbour on that side
+
+
+def around(nodes: DataFrame, *sides: str) -> DataFrame:
+    """nodes (row_, col, z, ...), each once, with the heights of their neighbours; null where there is none.
+
+    A node goes to its neighbours' places and its own, so one grouping by place does it, and no task holds a row or a column of the grid.
+    """
+    to = [F.struct(F.lit("own").alias("side"), F.col("row_").alias("r"), F.col("col").alias("c"))]
+    to += [F.struct(F.lit(s).alias("side"), (F.col("row_") + SIDES[s][0]).alias("r"), (F.col("col") + SIDES[s][1]).alias("c")) for s in sides]
+    sent = nodes.select(F.struct(*nodes.columns).alias("node"), F.explode(F.array(*to)).alias("to")).select("node", "to.*")
+    own = F.max(F.when(F.col("side") == "own", F.col("node"))).alias("own")
+    met = sent.groupBy("r", "c").agg(own, *(F.max(F.when(F.col("side") == s, F.col("node.z"))).alias(s) for s in sides)).where("own is not null")
+    return met.select("own.*", *sides)
+
+
 def with_neighbours(nodes: DataFrame) -> DataFrame:
     """nodes (row_, col, z) with north and east heights; row 0 takes the next row, the last column the one before."""
-    across, down = Window.partitionBy("row_").orderBy("col"), Window.partitionBy("col").orderBy("row_")
-    east = F.coalesce(F.lead("z").over(across), F.lag("z").over(across), "z")
-    north = F.coalesce(F.lag("z").over(down), F.lead("z").over(down), "z")
-    return nodes.withColumn("east", east).withColumn("north", north)
+    found = around(nodes, "east", "west", "south", "north")
+    east, north = F.coalesce("east", "west", "z"), F.coalesce("north", "south", "z")
+    return found.withColumns({"east": east, "north": north}).drop("west", "south")
 
 
 def large_steps(nodes: DataFrame, least: float) -> DataFrame:
     """Nodes whose height differs by more than ``least`` from the next node in their row or column."""
-    right, below = F.lead("z").over(Window.partitionBy("row_").orderBy("col")), F.lead("z").over(Window.partitionBy("col").orderBy("row_"))
-    step = F.greatest(F.abs(right - F.col("z")), F.abs(below - F.col("z")))
-    return nodes.withColumn("step", step).where(F.col("step") > least)
+    found = around(nodes, "east", "south")
+    step = F.greatest(F.abs(F.col("east") - F.col("z")), F.abs(F.col("south") - F.col("z")))
+    return found.withColumn("step", step).where(F.col("step") > least).drop("east", "south")
 
 
 def climb(tracks: DataFrame) -> DataFrame:
@@ -35,11 +50,11 @@ def volume(nodes: DataFrame, base: float, gsd: float) -> DataFrame:
 
 
 def triangles(nodes: DataFrame) -> DataFrame:
-    """Two triangles for each cell of four nodes: corners by column, row and height, by lead on rows and columns."""
-    across = Window.partitionBy("row_").orderBy("col")
-    pair = nodes.select("row_", "col", "z", F.lead("z").over(across).alias("ze"))
-    down = Window.partitionBy("col").orderBy("row_")
-    cell = pair.withColumn("zs", F.lead("z").over(down)).withColumn("zse", F.lead("ze").over(down)).where("ze is not null and zse is not null")
+    """Two triangles for each cell of four nodes: corners by column, row and height. A node goes to the four cells that it is a corner of."""
+    corner = [F.struct(F.lit(2 * i + j).alias("k"), (F.col("row_") - i).alias("row_"), (F.col("col") - j).alias("col")) for i in (0, 1) for j in (0, 1)]
+    sent = nodes.select("z", F.explode(F.array(*corner)).alias("to")).select("z", "to.*")
+    four = [F.max(F.when(F.col("k") == k, F.col("z"))).alias(c) for k, c in enumerate(("z", "ze", "zs", "zse"))]
+    cell = sent.groupBy("row_", "col").agg(*four).where("z is not null and ze is not null and zs is not null and zse is not null")
     first, second = F.struct(F.lit(0).alias("part"), "z", F.col("zs").alias("z2"), F.col("ze").alias("z3")), F.struct(F.lit(1).alias("part"), F.col("ze").alias("z"), F.col("zs").alias("z2"), F.col("zse").alias("z3"))
     return cell.select("row_", "col", F.explode(F.array(first, second)).alias("t")).select("row_", "col", "t.*")
 

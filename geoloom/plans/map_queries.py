@@ -213,6 +213,16 @@ def interpolators(pixels):
     return pixels.select("scene", "pixel", grids.nearest(a, b, 0.3).alias("near"), grids.linear(a, b, 0.3).alias("lin"), F.round(grids.lagrange(p, a, b, c, 0.3), 4).alias("cubic"), F.round(grids.convolution(p, a, b, c, 0.3), 4).alias("conv"), F.round(grids.twice(grids.linear, [[p, a], [b, c]], 0.3, 0.6), 4).alias("bilin"))
 
 
+@register("pixels", sql="""+ v AS (SELECT scene, pixel, pixel % 7 / 7e0 AS t, CAST(b03 AS DOUBLE) p, CAST(b04 AS DOUBLE) a, CAST(b08 AS DOUBLE) b, CAST(b03 + b04 AS DOUBLE) c FROM pixels)
+    SELECT scene, pixel, CASE WHEN t <= 5e-1 THEN a ELSE b END AS near, round(a + (b - a)*t, 4) AS lin, round((-p+3*a-3*b+c)/6*t*t*t + (3*(p-a)+3*(b-a))/6*t*t + (-2*(p-a)+6*(b-a)-(c-a))/6*t + a, 3) AS cubic,
+    round((-p+a-b+c)*t*t*t + (2*(p-a)+b-c)*t*t + (b-p)*t + a, 3) AS conv FROM v""")
+def interp_offsets(pixels):
+    """The kernels at an offset of each row's own."""
+    p, a, b = (F.col(c).cast("double") for c in ("b03", "b04", "b08"))
+    c, t = p + a, F.col("pixel") % 7 / 7.0
+    return pixels.select("scene", "pixel", grids.nearest(a, b, t).alias("near"), F.round(grids.linear(a, b, t), 4).alias("lin"), F.round(grids.lagrange(p, a, b, c, t), 3).alias("cubic"), F.round(grids.convolution(p, a, b, c, t), 3).alias("conv"))
+
+
 BANDS = "(b03 * 3) % 9000 + 1000 b02, b03, b04, b08, (b08 * 7) % 9000 + 1000 b8a, (b04 * 5) % 9000 + 1000 b11, (b03 * 11) % 9000 + 1000 b12"
 
 
