@@ -39,6 +39,25 @@ def sample(lines: DataFrame, step: float) -> DataFrame:
     return lines.select("id", F.posexplode(S.sample(F.col("pts"), step)).alias("k", "p")).select("id", "k", "p.x", "p.y")
 
 
+FRAMES = 60 * 20  # pictures a second, seconds of the film
+
+
+def fly_path(lines: DataFrame, zmin: float, zmax: float) -> DataFrame:
+    """(id, seg, k, x, y, z): where a flight along each line is at each picture: places a whole number of metres apart on each segment, from its first vertex on.
+
+    The step is the line's length in FRAMES parts, at least one metre; a segment counts as a metre long at least. Heights under zmin, or missing,
+    are taken halfway between zmin and zmax. A line of one vertex has no path.
+    """
+    whole = lambda v: F.greatest(F.floor(v + 0.5), F.lit(1)).cast("long")
+    height = lambda z: F.when(z >= zmin, z).otherwise((zmin + zmax) * 0.5)
+    rows = lines.where(F.size("pts") >= 2).select("id", whole(S.length(F.col("pts")) / FRAMES).alias("step"), F.posexplode(S.segments(F.col("pts"))).alias("seg", "s"))
+    a, b = F.col("s.a"), F.col("s.b")
+    far = whole(F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])))
+    rows = rows.withColumn("far", far).select("id", "seg", "s", "far", F.explode(F.sequence(F.lit(0).cast("long"), F.col("far") - 1, F.col("step"))).alias("k"))
+    at = lambda p, q: (p * (F.col("far") - F.col("k")) + q * F.col("k")) / F.col("far")
+    return rows.select("id", "seg", "k", at(a["x"], b["x"]).alias("x"), at(a["y"], b["y"]).alias("y"), at(height(a["z"]), height(b["z"])).alias("z"))
+
+
 def by_size(lines: DataFrame) -> DataFrame:
     """Descending by width plus height of the frame, then id."""
     b = S.bounds(F.col("pts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import grids
-from geoloom.operators import nearest
+from geoloom.operators import nearest, order
 from geoloom.plans.registry import inside, register, rint
 
 FRAME = G.Frame(650200.0, 6860100.0, 650700.0, 6860600.0)
@@ -267,9 +267,9 @@ def point_budget(points):
 
 @register("las_points", sql="SELECT las_id, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY las_id ORDER BY classification, x, y, z, l_orderkey, l_linenumber) pos FROM las_points")
 def entry_order(points):
-    """Entries of a file by level, then place."""
-    order = Window.partitionBy("las_id").orderBy("classification", "x", "y", "z", "l_orderkey", "l_linenumber")
-    return points.select("las_id", "l_orderkey", "l_linenumber", F.row_number().over(order).alias("pos"))
+    """Entries of a file by level, then place; no file's entries meet in one task."""
+    by = [F.col(c) for c in ("classification", "x", "y", "z", "l_orderkey", "l_linenumber")]
+    return order.numbered_in(points, "las_id", by).select("las_id", "l_orderkey", "l_linenumber", "pos")
 
 
 @register("pt_features", sql="SELECT zorder, round(min(x), 6) xmin, round(min(y), 6) ymin, round(max(x), 6) xmax, round(max(y), 6) ymax, count(*) n FROM pt_features WHERE class <> 'BUILDING' GROUP BY 1")

@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators import lines, outlines
+from geoloom.operators import lines, order, outlines
 from geoloom.plans.registry import register
 
 TOLERANCE = 150.0
+Z = (20.0, 80.0)  # heights of a flight
+
+
+@register("las_points", sql=f"""+ v AS (SELECT l_orderkey AS id, row_number() OVER w - 1 AS seg, x, y, CASE WHEN z >= {Z[0]} THEN z ELSE {sum(Z) / 2} END AS z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(CASE WHEN z >= {Z[0]} THEN z ELSE {sum(Z) / 2} END) OVER w AS z2
+        FROM las_points WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, z)),
+    d AS (SELECT *, sqrt((x2 - x)*(x2 - x) + (y2 - y)*(y2 - y)) AS d FROM v WHERE x2 IS NOT NULL), s AS (SELECT *, greatest(1, CAST(floor(sum(d) OVER (PARTITION BY id) / 12e2 + 5e-1) AS BIGINT)) AS step, greatest(1, CAST(floor(d + 5e-1) AS BIGINT)) AS far FROM d),
+    p AS (SELECT *, unnest(range(0, far, step)) AS k FROM s)
+    SELECT id, count(*) AS n, CAST(floor(sum(k)) AS BIGINT) AS total, round(min((x * (far - k) + x2 * k) / far), 3) AS x, round(max((y * (far - k) + y2 * k) / far), 3) AS y, round(max((z * (far - k) + z2 * k) / far), 3) AS z FROM p GROUP BY id""")
+def fly_paths(points: DataFrame) -> DataFrame:
+    """Of the flight along each line: pictures, sum of their metres, and the ends of its places."""
+    path = lines.fly_path(lines.build(points), *Z)
+    return path.groupBy("id").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.round(F.min("x"), 3).alias("x"), F.round(F.max("y"), 3).alias("y"), F.round(F.max("z"), 3).alias("z"))
+
+
+_NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower(t), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN '0' || lpad(length(regexp_replace(p, '^0+(.)', '\1'))::VARCHAR, 8, '0') || regexp_replace(p, '^0+(.)', '\1') ELSE p END), '')"
+
+
+@register("customer", sql=f"SELECT c_custkey, row_number() OVER (ORDER BY {_NATURAL} DESC, t DESC, c_custkey DESC) AS pos FROM (SELECT c_custkey, 'Item ' || c_custkey % 97 || ' no ' || c_custkey * 7919 AS t FROM customer)")
+def natural_places(customers: DataFrame) -> DataFrame:
+    """Places in descending natural order of a text with two numbers."""
+    named = customers.select("c_custkey", F.concat(F.lit("Item "), (F.col("c_custkey") % 97).cast("string"), F.lit(" no "), (F.col("c_custkey") * 7919).cast("string")).alias("t"))
+    return order.natural_order(named, "t", "c_custkey", True).select("c_custkey", "pos")
+
+
 _V = "+ v AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, z) - 1 AS k, x, y FROM las_points)"
 
 

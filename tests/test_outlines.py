@@ -1,7 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 
-from geoloom.operators import outlines
+from pyspark.sql import functions as F
+
+from geoloom.operators import lines, order, outlines
 
 
 def lines_of(spark, shapes):
@@ -61,3 +65,38 @@ def test_label_points(spark):
     shapes = {1: np.array([[0, 0], [4, 0], [4, 2], [0, 2.0]]), 2: np.array([[0, 0], [1, 0], [1, 3], [9, 3], [9, 0], [14, 0], [14, 4], [0, 4.0]]), 3: np.array([[0, 1], [5, 1.0]]), 4: np.array([[7, 7.0]])}
     got = {r.id: (r.x, r.y) for r in outlines.label_points(lines_of(spark, shapes)).collect()}
     assert got == {1: (2, 1), 2: (11.5, 2), 3: (2.5, 1), 4: (7, 7)}
+
+
+def test_fly_path(spark):
+    pts = {1: [(0, 0, 5), (3000, 0, 25), (3000, 0.2, None)], 2: [(7, 7, 7)], 3: [(0, 0, 30), (10.4, 0, 40)]}
+    frame = spark.createDataFrame([(k, [{"x": float(x), "y": float(y), "z": None if z is None else float(z)} for x, y, z in v]) for k, v in pts.items()], "id long, pts array<struct<x:double,y:double,z:double>>")
+    got = {}
+    for r in lines.fly_path(frame, 10.0, 50.0).collect():
+        got.setdefault(r.id, []).append((r.seg, r.k, r.x, r.y, r.z))
+    one = sorted(got[1])
+    assert [(s, k) for s, k, *_ in one] == [(0, k) for k in range(0, 3000, 3)] + [(1, 0)]  # 3000.2 m in 1,200 parts, rounded
+    assert one[0][2:] == (0, 0, 30) and one[500][2:] == (1500, 0, 27.5) and one[-1][2:] == (3000, 0, 25)
+    assert [(s, k, round(x, 9), y, z) for s, k, x, y, z in sorted(got[3])] == [(0, k, round(1.04 * k, 9), 0, 30 + k) for k in range(10)] and got.keys() == {1, 3}
+
+
+def test_natural_order(spark):
+    texts = ["a10", "a9", "A 1", "a010", "b", "", None, "a1b20", "a1b3", "a" + "9" * 30, "a1" + "0" * 30, "a0", "a00", "é2", "10", "9x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(5)
+
+    def chunks(t):
+        t = t or ""
+        return "".join("0" + str(len(n)).rjust(8, "0") + n if (n := m.lstrip("0") or "0") and m[0].isdigit() else m for m in re.findall(r"\d+|\D+", t.lower())), t
+
+    want = sorted(range(len(texts)), key=lambda k: (*chunks(texts[k]), k))
+    assert [r.k for r in sorted(order.natural_order(frame, "t", "k").collect(), key=lambda r: r.pos)] == want
+    down = order.natural_order(frame, "t", "k", True)
+    assert [r.k for r in sorted(down.collect(), key=lambda r: r.pos)] == want[::-1] and down.columns == ["k", "t", "pos"]
+    assert want.index(1) < want.index(0) and want.index(9) < want.index(10) and order.natural_order(frame.limit(0), "t", "k").count() == 0
+
+
+def test_places_in_groups(spark):
+    rows = [(k % 3 if k % 7 else None, (k * 37) % 101) for k in range(101)]
+    got = order.numbered_in(spark.createDataFrame(rows, "g long, v long").repartition(6).where("g is not null"), "g", [F.col("v").desc()]).collect()
+    for g in range(3):
+        mine = sorted((r.pos, r.v) for r in got if r.g == g)
+        assert [v for _, v in mine] == sorted((v for x, v in rows if x == g), reverse=True) and [p for p, _ in mine] == list(range(1, len(mine) + 1))
