@@ -26,6 +26,36 @@ def test_toxic_documents_go(spark):
     assert kept.where("toxic = 1").count() < 0.1 * labels.where("toxic = 1").count()
 
 
+def test_edge_rows_through_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns that operators use inside."""
+    words = [f"w{k}" for k in range(400)]
+    rng = random.Random(1)
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    long, shared, near = text(30_000), text(80), text(100)
+    rows = [
+        (1, None, None, None, 1), (2, "", "en", "a", 2), (3, long, "en", None, 3), (4, long, None, "b", 3), (5, "one two", "fr", "c", 4), (5, "one two", "fr", "c", 4), (None, "no id " + text(9), None, None, None),
+        (6, f"{text(60)} {shared} {text(50)}", "en", "a", 1), (7, f"{text(60)} {shared} {text(70)}", "en", "a", 1), (8, near, "de", "a", 1), (9, near + " more", "de", "a", 1), (10, "漢字 \U0001f600", "zh", "a", 1),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, h long").selectExpr("*", "1 AS score", "2 AS keep_id", "'x' AS word")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(6, 1, 0), (8, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == frame.columns
+        kept.append(sorted((r["doc_id"] or 0) for r in docs.collect()))
+    assert len(kept[0]) == len(rows)  # no toxic label: nothing is toxic
+    assert kept[1] == [0, 2, 4, 5, 6, 7, 8, 9, 10] and kept[2] == kept[3] == [0, 2, 4, 5, 6, 7, 8, 10]
+    cut = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert cut[6] == rows[7][1] and shared not in cut[7] and cut[4] == long and (cut[2] or "") == ""
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == {None, *kept[3]} - {0}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
 def _plain_kept(rows):
     """Brute force: of components of texts with a five-word Jaccard of at least 0.8 the smallest doc_id."""
     sets = []
