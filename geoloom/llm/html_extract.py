@@ -110,7 +110,7 @@ class Maker:
         "notice": "cookie-notice|cookie-banner|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|paywall|site-notice|message",
         "form": "search-form|search|login|signup|contact-form|subscribe-form",
         "talk": "comments|comment-list|discussion|responses|replies|disqus_thread|reader-comments|reviews|feedback",
-        "share": "share|social|share-buttons|follow-us|sharing",
+        "share": "share|social|share-buttons|follow-us|sharing|sharebar|addtoany_share|post-share",
         "wrap": "container|wrapper|row|col-8|inner|page|site|layout|grid|outer|shell|root|app|center|columns|box",
     }
 
@@ -162,7 +162,7 @@ class Maker:
             inside = f"<p>{self.words(2, 20)}</p><label>{self.words(1, 3)}</label><input type=text><textarea>{self.words(0, 3)}</textarea><button>{self.words(1, 2)}</button>"
             return self.truthful("form", "form", inside)
         if kind == "share":
-            return self.truthful(draw.choice(("div", "ul")), "share", f"<h3>{self.words(1, 3)}</h3>" * (draw.random() < 0.4) + "".join(f"<li>{self.link()}</li>" for _ in range(draw.randint(2, 5))), tell=0.9)
+            return self.truthful(draw.choice(("div", "ul")), "share", f"<h3>{self.words(1, 3)}</h3>" * (draw.random() < 0.6) + "".join(f"<li>{self.link()}</li>" for _ in range(draw.randint(2, 5))), tell=0.9)
         each = "".join(self.truthful(draw.choice(("div", "li", "article", "section")), "talk", f"<b>{self.words(1, 2)}</b>" * (draw.random() < 0.7) + f"<p>{self.words(2, 60)}</p>", tell=0.5) for _ in range(draw.randint(1, 8)))
         return self.truthful(box, "talk", draw.choice(("", f"<h2>{self.words(1, 2)}</h2>")) + each + draw.choice(("", f"<form><textarea></textarea><button>{self.words(1, 1)}</button></form>")), tell=1.0)
 
@@ -193,8 +193,8 @@ class Maker:
             body = [draw.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>")).format(self.words(1, draw.choice((3, 14)))) for _ in range(draw.choice((1, 1, 2, 3)))]
         else:
             body = [self.block() for _ in range(draw.choice((1, 2, 3, 5, 8, 12, 20, 30)))]
-        for kind in ("ad", "side", "share", "form", "notice", "nav"):
-            if draw.random() < 0.12:
+        for kind in ("ad", "side", "share", "share", "form", "notice", "nav"):
+            if draw.random() < 0.15:
                 body.insert(draw.randint(0, len(body)), self.junk(kind))
         if draw.random() < 0.15:
             body.append(self.junk("talk"))
