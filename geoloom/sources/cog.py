@@ -65,8 +65,7 @@ def corner(pyramid: list[Level], level: Level) -> tuple[float, float, float, flo
     at = tiff.placing(pyramid[0].tags)
     if not at:
         return None
-    whole, part = pyramid[0].tags, level.tags
-    return at[0] - at[2] / 2, at[1] - at[3] / 2, at[2] * whole[tiff.WIDTH][0] / part[tiff.WIDTH][0], at[3] * whole[tiff.HEIGHT][0] / part[tiff.HEIGHT][0]
+    return at[0] - at[2] / 2, at[1] - at[3] / 2, at[2] * level.factor, at[3] * level.factor  # a last pixel may stand for fewer
 
 
 @dataclass
