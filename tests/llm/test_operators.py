@@ -539,7 +539,7 @@ def test_candidates_grow_with_the_lines(spark):
             every = line_dedup.lines(line_dedup.documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
             found, _ = line_dedup.candidates(every.where(F.col("n") >= line_dedup.LEAST), None)
             count = sum(f.count() for f in found)
-            assert count < 12 * len(texts), (name, n, count)  # groups of SMALL lines at most are paired, and a line is in a few of them
+            assert count < line_dedup.LARGE * len(texts), (name, n, count)  # cells of at most LARGE lines are paired
 
 
 def test_edits_of_very_long_lines():
