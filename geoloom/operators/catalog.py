@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +48,11 @@ def robust_affinity(pairs: DataFrame, worst: float = 3.0) -> DataFrame:
     """A fit whose worst pair is left out while its residual is over ``worst`` times the mean; with n and the residuals' rms.
 
     A round is one aggregate for the fit and one for its residuals; only these single rows reach the driver. Residuals that
-    are only rounding (1e-9 of the largest coordinate) end it too. Every KEPT rounds the pairs that are left are written.
+    are only rounding (1e-9 of the largest coordinate) end it too. The pairs are written first and, without what was left out, every
+    KEPT rounds; all rounds since then are one filter on that table, as filters upon filters make the optimiser's work double in each.
     """
-    spark, k, made = pairs.sparkSession, 0, Written(pairs.sparkSession)
+    spark, made, left_in = pairs.sparkSession, Written(pairs.sparkSession), []
+    held = pairs = made(pairs, "pairs")
     while True:
         fit = terrain.affinity(pairs).first()
         dx = F.col("x") * fit["a"] + F.col("y") * fit["b"] + fit["c"] - F.col("x2")
@@ -57,9 +62,11 @@ def robust_affinity(pairs: DataFrame, worst: float = 3.0) -> DataFrame:
         found = pairs.agg(F.max(res).alias("worst"), F.avg(res).alias("mean"), F.count("*").alias("n"), F.sqrt(F.avg(res * res)).alias("rms"), large).first()
         if found["n"] <= 3 or found["worst"] <= max(worst * found["mean"], 1e-9 * found["large"]):
             break
-        pairs, k = pairs.where(res < found["worst"]), k + 1
-        if k % KEPT == 0:
-            pairs = made(pairs, "pairs")
+        left_in.append(res < found["worst"])
+        pairs = held.where(reduce(and_, left_in))
+        if len(left_in) == KEPT:
+            held = pairs = made(pairs, "pairs")
             made.drop(keep=1)
+            left_in = []
     made.drop()
     return spark.createDataFrame([(*fit, found["n"], found["rms"])], "a double, b double, c double, d double, e double, f double, n long, rms double")

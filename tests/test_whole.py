@@ -1,6 +1,8 @@
 """Operators over all of their input: no round, level or row is left out."""
 
-from geoloom.operators import catalog, pointcloud
+from pyspark.sql import functions as F
+
+from geoloom.operators import catalog, pointcloud, terrain
 from geoloom.queries import QUERIES
 
 
@@ -12,6 +14,17 @@ def test_robust_fit_leaves_out_many(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(fit[:6], (2, 0, 5, 0, 3, -7), strict=True))
 
 
+def test_rounds_of_a_fit_are_one_filter_on_a_table(spark, monkeypatch):
+    plans, fit = [], terrain.affinity
+    monkeypatch.setattr(catalog.terrain, "affinity", lambda pairs: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or fit(pairs))
+    n = spark.range(1607).select(F.col("id").cast("double").alias("n"))
+    x, y = F.col("n") % 40, F.floor(F.col("n") / 40)
+    off = F.when(F.col("n") >= 1600, 1000 * F.pow(F.lit(1.4), F.col("n") - 1600)).otherwise(0)
+    found = catalog.robust_affinity(n.select(x.alias("x"), y.cast("double").alias("y"), (2 * x + off).alias("x2"), (3 * y - off).alias("y2"))).first()
+    assert found["n"] == 1600 and len(plans) >= 8
+    assert all(p.count("Filter") <= 1 and p.count("Project") <= 1 and "Range" not in p for p in plans)
+
+
 def test_holes_are_filled_up_to_the_extent(spark):
     known, size = spark.createDataFrame([(0, 0, 1.0), (3, 2, 3.0)], "u long, v long, z double"), spark.createDataFrame([(39, 20)], "mu long, mv long")
     got = {(r["u"], r["v"]): r["z"] for r in pointcloud.fill_holes(known, size=size).collect()}
