@@ -34,12 +34,17 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BATCH = 1 << 16  # codes that are walked together, and the most node pairs held at a time are 16 times that
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; none without words."""
     words = (text or "").encode().translate(LOWER).split()  # bytes.split(): runs of 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) > size else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; zero without hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BATCH):
         part = hashes[i : i + BATCH]
@@ -47,6 +52,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp (the fingerprint as a signed long)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -156,9 +165,8 @@ def links(distinct: DataFrame, budget: int = BITS) -> DataFrame:
     return rows.repartition("choice", "head").sortWithinPartitions("choice", "head").mapInPandas(partial(_subtrees, budget=budget), "u long, v long")
 
 
-def text_pairs(rows: DataFrame, size: int = SHINGLE, budget: int = WIDE) -> DataFrame:
-    """rows (h, text), h a text's hash -> pairs (u, v) of texts to check: a star for each set of fingerprints that the tries link."""
-    fps = materialise(per_text(rows.select("h", "text"), {"fp": "long"}, lambda texts: (np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64),)), "text-fps")
+def text_pairs(fps: DataFrame, budget: int = WIDE) -> DataFrame:
+    """fps (h, fp), written, h a text's hash -> pairs (u, v) of texts to check: a star for each set of fingerprints that the tries link."""
     first = materialise(fps.groupBy("fp").agg(F.min("h").alias("first")), "first-fps")
     same = fps.join(first, "fp").where("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v"))
     roots = components(links(first.select("fp"), budget))

@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+
 from geoloom.llm import similar, toxicity
 
 
@@ -103,3 +105,18 @@ def test_near_copies_of_the_table(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == _plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert similar.keep_one(docs.where("false")).count() == 0
+
+
+def test_sketches_spare_texts_and_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 400, 3000):
+        base = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        sets = [np.unique(base[:n])] + [np.unique(np.r_[base[: n - k], base[n : n + extra]]) for k in {0, n // 20, n // 9, n // 5, n} for extra in {0, n // 20, n // 9, n}]
+        sets = [x for x in sets if len(x)]
+        rows = np.stack([np.frombuffer(similar.sketch(x), np.uint8) for x in sets])
+        size = np.array([len(x) for x in sets])
+        for x, own in zip(sets, rows, strict=True):
+            may = similar.may_be_alike(np.repeat(own[None], len(sets), axis=0), rows, np.full(len(sets), len(x)), size)
+            assert all(m or not similar.alike(x, y) for m, y in zip(may, sets, strict=True))
+        other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        assert n == 1 or not similar.may_be_alike(rows[:1], np.frombuffer(similar.sketch(other), np.uint8)[None], size[:1], np.array([len(other)]))[0]
