@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.grids import crossings
+from geoloom.operators.shared import Written
 
 ZONE_CELL = 100.0
 
@@ -14,30 +19,64 @@ def _cell(size: float) -> tuple:
     return F.floor(F.col("x") / size), F.floor(F.col("y") / size)
 
 
-def neighbours(probe: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Pairs whose cells of ``size`` touch; ``points`` has its columns renamed to px, py, pz and its keys as they are."""
-    cx, cy = _cell(size)
-    step = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    near = probe.withColumn("_cx", F.explode(F.transform(step, lambda d: cx + d))).withColumn("_cy", F.explode(F.transform(step, lambda d: cy + d)))
-    held = points.withColumn("_cx", cx).withColumn("_cy", cy).withColumnsRenamed({"x": "px", "y": "py", "z": "pz"})
-    return near.join(held, ["_cx", "_cy"]).drop("_cx", "_cy")
+def neighbours(probe: DataFrame, points: DataFrame, size: float, solid: bool = False) -> DataFrame:
+    """Pairs whose cells of ``size`` touch, in space if ``solid``; ``points`` has its columns renamed to px, py, pz and its keys as they are."""
+    axes = "xyz" if solid else "xy"
+    cell, near = {f"_c{c}": F.floor(F.col(c) / size) for c in axes}, probe
+    for name, at in cell.items():
+        near = near.withColumn(name, F.explode(F.array(*(at + k for k in (-1, 0, 1)))))
+    held = points.withColumns(cell).withColumnsRenamed({"x": "px", "y": "py", "z": "pz"})
+    return near.join(held, list(cell)).drop(*cell)
+
+
+DENSE = 2.0  # points of a cell, on average, where a search begins
+WIDER = 1 + 1e-6  # cells are so much wider than what is looked for, so that no point is lost to rounding
+
+
+def nearest_within(probe: DataFrame, points: DataFrame, radius: float, keys: list[str], order: list, solid: bool = False, square: bool = False) -> DataFrame:
+    """(keys, pz): the height of the point nearest to each probe within the radius, in space if ``solid``; of equals the first in ``order`` (columns of points).
+
+    With ``square`` it is the nearest one in a square of the radius to each side. Cells begin so small that they hold DENSE points or so: what a
+    probe's own and touching cells hold within a cell's size is its answer, and only probes without one go on, to cells twice as large. So pairs
+    grow with the probes, not with probes times density. In later rounds points come from the box around the probes that are left.
+    """
+    axes = "xyz" if solid else "xy"
+    points = points.select("x", "y", "z", "l_orderkey", "l_linenumber")
+    ends = [f(c).alias(f"{c}{k}") for c in axes for k, f in enumerate((F.min, F.max))]
+    box = points.agg(F.count("*").alias("n"), *ends).first()
+    sides = [max(box[f"{c}1"] - box[f"{c}0"], radius * 1e-3) if box[f"{c}0"] is not None else radius for c in axes]
+    size = min(radius, (DENSE * math.prod(sides) / max(box["n"], 1)) ** (1 / len(axes)))
+    d = {c: F.col(c) - F.col(f"p{c}") for c in axes}
+    d2 = sum((d[c] * d[c] for c in axes[1:]), d["x"] * d["x"])
+    made, done, left = Written(probe.sparkSession), None, probe.select(*dict.fromkeys((*keys, "x", "y", "z")))
+    while True:
+        near = (F.abs(d["x"]) <= radius) & (F.abs(d["y"]) <= radius) if size == radius and square else F.col("d2") <= size * size
+        best = neighbours(left, points, size * WIDER, solid).withColumn("d2", d2).where(near).groupBy(*keys).agg(F.min_by("pz", F.struct("d2", *order)).alias("pz"))
+        if size == radius:
+            return best if done is None else done.union(best)
+        found = made(best, "nearest")
+        done = found if done is None else done.union(found)
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        left = made(left.join(found.select(*(F.col(k).alias(f"_{k}") for k in keys)), reduce(and_, same), "left_anti"), "left")
+        box = left.agg(F.count("*").alias("n"), *ends).first()
+        if not box["n"]:
+            return done
+        size = min(radius, 2 * size)
+        for c in axes:
+            if box[f"{c}0"] is not None:
+                points = points.where(F.col(c).between(box[f"{c}0"] - radius * WIDER, box[f"{c}1"] + radius * WIDER))
 
 
 def delta_to_points(features: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Each feature's height over the nearest point in space within the radius; of equals the last point."""
-    pairs = neighbours(features, points.select("x", "y", "z", "l_orderkey", "l_linenumber"), radius)
-    x, y, z = F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("z") - F.col("pz")
-    pairs = pairs.withColumn("d2", x * x + y * y + z * z).where(F.col("d2") <= radius * radius)
-    order = F.struct("d2", (-F.col("l_orderkey")).alias("a"), (-F.col("l_linenumber")).alias("b"))
-    return pairs.groupBy("feature_id", "class", "z").agg(F.min_by("pz", order).alias("pz")).select("feature_id", "class", (F.col("z") - F.col("pz")).alias("delta"))
+    last = [(-F.col("l_orderkey")).alias("a"), (-F.col("l_linenumber")).alias("b")]
+    found = nearest_within(features, points, radius, ["feature_id", "class", "z"], last, solid=True)
+    return found.select("feature_id", "class", (F.col("z") - F.col("pz")).alias("delta"))
 
 
 def nearest_height(features: DataFrame, points: DataFrame, half: float) -> DataFrame:
     """The height of the planimetrically nearest point in a square of ``half`` to each side; of equals the first point."""
-    pairs = neighbours(features, points.select("x", "y", "z", "l_orderkey", "l_linenumber"), half)
-    x, y = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    pairs = pairs.where((F.abs(x) <= half) & (F.abs(y) <= half)).withColumn("d2", x * x + y * y)
-    return pairs.groupBy("feature_id").agg(F.min_by("pz", F.struct("d2", "l_orderkey", "l_linenumber")).alias("z"))
+    return nearest_within(features, points, half, ["feature_id"], ["l_orderkey", "l_linenumber"], square=True).select("feature_id", F.col("pz").alias("z"))
 
 
 def zonal(zones: DataFrame, points: DataFrame) -> DataFrame:
