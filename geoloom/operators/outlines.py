@@ -5,28 +5,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Places of the vertices that stay: both ends, and of each stretch the vertex that is farthest from its chord (the first of equals), if over the tolerance."""
-    keep, todo = np.zeros(len(x), bool), [(0, len(x) - 1)]
-    keep[[0, -1]] = True
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < 2:
-            continue
-        ax, ay, bx, by = x[lo], y[lo], x[hi] - x[lo], y[hi] - y[lo]
-        px, py, square = x[lo + 1 : hi] - ax, y[lo + 1 : hi] - ay, bx * bx + by * by
-        t = np.clip((px * bx + py * by) / square, 0, 1) if square > 0 else np.zeros(len(px))
+def marked(x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of lines (each from its start to before its end) stay: both ends, and of each stretch the vertex that is farthest from its chord (the first of equals), if over the tolerance.
+
+    All stretches of all lines are split together, a level at a time.
+    """
+    keep, lo, hi = np.zeros(len(x), bool), starts.astype(np.int64), ends.astype(np.int64) - 1
+    keep[lo] = keep[hi] = True
+    while len(lo):
+        size = np.maximum(hi - lo - 1, 0)
+        lo, hi, size = lo[size > 0], hi[size > 0], size[size > 0]
+        if not len(lo):
+            break
+        first, own = np.cumsum(size) - size, np.repeat(np.arange(len(lo)), size)
+        at = np.arange(len(own)) - first[own] + lo[own] + 1
+        bx, by = (x[hi] - x[lo])[own], (y[hi] - y[lo])[own]
+        px, py, square = x[at] - x[lo][own], y[at] - y[lo][own], bx * bx + by * by
+        t = np.where(square > 0, np.clip((px * bx + py * by) / np.where(square > 0, square, 1), 0, 1), 0.0)
         far = (px - t * bx) ** 2 + (py - t * by) ** 2
-        k = int(far.argmax())
-        if far[k] > tolerance * tolerance:
-            keep[lo + 1 + k] = True
-            todo += [(lo, lo + 1 + k), (lo + 1 + k, hi)]
-    return np.flatnonzero(keep)
+        most = np.maximum.reduceat(far, first)
+        top = np.flatnonzero(far == most[own])
+        top = top[np.r_[True, own[top][1:] != own[top][:-1]]] if len(top) else top
+        top = top[far[top] > tolerance * tolerance]
+        k, stretch = at[top], own[top]
+        keep[k] = True
+        lo, hi = np.r_[lo[stretch], k], np.r_[k, hi[stretch]]
+    return keep
+
+
+def kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the vertices of one line that stay."""
+    return np.flatnonzero(marked(x, y, np.array([0]), np.array([len(x)]), tolerance))
 
 
 def generalised(lines: DataFrame, tolerance: float) -> DataFrame:
@@ -35,18 +49,17 @@ def generalised(lines: DataFrame, tolerance: float) -> DataFrame:
     A line is a row, so one task has all of it. A line without vertices gives no rows; vertices must not be null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for key, xs, ys in b.itertuples(index=False):
-                x, y = np.asarray(xs, float), np.asarray(ys, float)
-                at = kept(x, y, tolerance)
-                made.append(pd.DataFrame({"id": key, "at": at.astype(np.int32), "x": x[at], "y": y[at]}))
-            if made:
-                yield pd.concat(made)
+            ends = b.column("xs").offsets.to_numpy().astype(np.int64)
+            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys"))
+            ends -= ends[0]
+            at = np.flatnonzero(marked(x, y, ends[:-1], ends[1:], tolerance))
+            line = np.searchsorted(ends, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(line)), pa.array((at - ends[line]).astype(np.int32)), pa.array(x[at]), pa.array(y[at])], names=["id", "at", "x", "y"])
 
     rows = lines.where(F.size("pts") > 0).select("id", F.transform("pts", lambda p: p["x"]).alias("xs"), F.transform("pts", lambda p: p["y"]).alias("ys"))
-    return rows.mapInPandas(run, rows.select("id").schema.add("at", "integer").add("x", "double").add("y", "double"))
+    return rows.mapInArrow(run, rows.select("id").schema.add("at", "integer").add("x", "double").add("y", "double"))
 
 
 def segments(lines: DataFrame) -> DataFrame:

@@ -100,3 +100,26 @@ def test_places_in_groups(spark):
     for g in range(3):
         mine = sorted((r.pos, r.v) for r in got if r.g == g)
         assert [v for _, v in mine] == sorted((v for x, v in rows if x == g), reverse=True) and [p for p, _ in mine] == list(range(1, len(mine) + 1))
+
+
+def test_lines_of_a_batch_are_simplified_as_each_alone():
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 3, 4, 7, 60, 1, 5, 300, 2]
+    x, y = rng.integers(0, 30, sum(sizes)).astype(float), rng.integers(0, 30, sum(sizes)).astype(float)
+    ends = np.cumsum(sizes)
+    keep = outlines.marked(x, y, ends - sizes, ends, 6.0)
+
+    def plain(lo, hi):
+        if hi - lo < 2:
+            return set()
+        a, b = np.array([x[lo], y[lo]]), np.array([x[hi] - x[lo], y[hi] - y[lo]])
+        far = []
+        for k in range(lo + 1, hi):
+            p, square = np.array([x[k], y[k]]) - a, b @ b
+            t = min(1, max(0, p @ b / square)) if square else 0
+            far.append(((p - t * b) ** 2).sum())
+        k = lo + 1 + int(np.argmax(far))
+        return {k} | plain(lo, k) | plain(k, hi) if max(far) > 36 else set()
+
+    want = set().union(*({e - n, e - 1} | plain(e - n, e - 1) for e, n in zip(ends, sizes, strict=True)))
+    assert set(np.flatnonzero(keep)) == want and 20 < len(want) < sum(sizes)
