@@ -13,12 +13,13 @@ def around(nodes: DataFrame, *sides: str) -> DataFrame:
     """nodes (row_, col, z, ...), each once, with the heights of their neighbours; null where there is none.
 
     A node goes to its neighbours' places and its own, so one grouping by place does it, and no task holds a row or a column of the grid.
+    Rows are dealt out before they are grouped: what a map task reads is not sorted there, five times as large, for a partial result that joins few of them.
     """
     to = [F.struct(F.lit("own").alias("side"), F.col("row_").alias("r"), F.col("col").alias("c"))]
     to += [F.struct(F.lit(s).alias("side"), (F.col("row_") + SIDES[s][0]).alias("r"), (F.col("col") + SIDES[s][1]).alias("c")) for s in sides]
     sent = nodes.select(F.struct(*nodes.columns).alias("node"), F.explode(F.array(*to)).alias("to")).select("node", "to.*")
     own = F.max(F.when(F.col("side") == "own", F.col("node"))).alias("own")
-    met = sent.groupBy("r", "c").agg(own, *(F.max(F.when(F.col("side") == s, F.col("node.z"))).alias(s) for s in sides)).where("own is not null")
+    met = sent.repartition("r", "c").groupBy("r", "c").agg(own, *(F.max(F.when(F.col("side") == s, F.col("node.z"))).alias(s) for s in sides)).where("own is not null")
     return met.select("own.*", *sides)
 
 

@@ -36,3 +36,11 @@ def test_all_lines_are_sorted(spark):
     rows = QUERIES["sort_size_all"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count() > 20
     assert all(a["size"] >= b["size"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_nodes_are_dealt_out_before_they_are_sorted(spark):
+    nodes = spark.createDataFrame([(0, 0, 1.0), (0, 1, 4.0), (1, 0, 2.0)], "row_ long, col long, z double")
+    found = terrain.around(nodes, "east", "south")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning(r") > plan.rindex("Aggregate")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0, 1.0, 4.0, 2.0), (0, 1, 4.0, None, None), (1, 0, 2.0, None, None)]
