@@ -68,26 +68,48 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
 RECORD = np.dtype({"names": ["xyz", "intensity", "returns", "class", "time"], "formats": ["3<i4", "<u2", "u1", "u1", "<f8"], "offsets": [0, 12, 14, 16, 22], "itemsize": 30})  # fixed values: format 6
 
 
+class Growing:
+    """A LAS 1.4 file of format 6 that grows by batches: x, y, z, intensity, classification, gps_time. It is held once, as its own bytes.
+
+    Places count from the first batch's low ends, so they may be negative.
+    """
+
+    def __init__(self, scale: float) -> None:
+        self.scale, self.count, self.data = scale, 0, bytearray(HEADER)
+        self.low, self.least, self.most = None, np.full(3, np.inf), np.full(3, -np.inf)
+
+    def add(self, points: dict[str, np.ndarray]) -> None:
+        xyz = np.stack([points[c] for c in "xyz"], axis=1)
+        if self.low is None:
+            self.low = np.floor(xyz.min(axis=0))
+        whole = np.floor((xyz - self.low) / self.scale + 0.5)
+        if np.abs(whole).max() >= 2**31:
+            raise ValueError("points lie too far apart for this scale")
+        body = np.zeros(len(xyz), RECORD)
+        body["xyz"], body["returns"] = whole, 0x11
+        for column, name in (("intensity", "intensity"), ("class", "classification"), ("time", "gps_time")):
+            body[column] = points[name]
+        kept = whole * self.scale + self.low
+        self.least, self.most = np.minimum(self.least, kept.min(axis=0)), np.maximum(self.most, kept.max(axis=0))
+        self.data += body.tobytes()
+        self.count += len(xyz)
+
+    def content(self) -> bytearray:
+        head = self.data
+        head[:4], head[24], head[25], head[104] = b"LASF", 1, 4, 6
+        struct.pack_into("<HII", head, 94, HEADER, HEADER, 0)
+        struct.pack_into("<H", head, 105, RECORD.itemsize)
+        ends = [v for lo, hi in zip(self.least, self.most, strict=True) for v in (hi, lo)]
+        struct.pack_into("<12d", head, 131, *[self.scale] * 3, *self.low, *ends)
+        struct.pack_into("<2Q", head, 247, self.count, self.count)  # all points, and those of the first return
+        return head
+
+
 def file_of(points: dict[str, np.ndarray], scale: float) -> bytes:
     """A LAS 1.4 file of format 6: x, y, z, intensity, classification, gps_time."""
-    xyz = np.stack([points[c] for c in "xyz"], axis=1)
-    low = np.floor(xyz.min(axis=0))
-    whole = np.floor((xyz - low) / scale + 0.5)
-    if whole.max() >= 2**31:
-        raise ValueError("points lie too far apart for this scale")
-    body = np.zeros(len(xyz), RECORD)
-    body["xyz"], body["returns"] = whole, 0x11
-    for column, name in (("intensity", "intensity"), ("class", "classification"), ("time", "gps_time")):
-        body[column] = points[name]
-    kept = whole * scale + low
-    head = bytearray(HEADER)
-    head[:4], head[24], head[25], head[104] = b"LASF", 1, 4, 6
-    struct.pack_into("<HII", head, 94, HEADER, HEADER, 0)
-    struct.pack_into("<H", head, 105, RECORD.itemsize)
-    ends = [v for lo, hi in zip(kept.min(axis=0), kept.max(axis=0), strict=True) for v in (hi, lo)]
-    struct.pack_into("<12d", head, 131, *[scale] * 3, *low, *ends)
-    struct.pack_into("<2Q", head, 247, len(xyz), len(xyz))  # all points, and those of the first return
-    return bytes(head) + body.tobytes()
+    file = Growing(scale)
+    file.add(points)
+    return bytes(file.content())
 
 
 def write_las(points: DataFrame, scale: float = 0.01, most: int = 10_000_000) -> DataFrame:
@@ -99,22 +121,22 @@ def write_las(points: DataFrame, scale: float = 0.01, most: int = 10_000_000) ->
     rows = points.where("x is not null and y is not null and z is not null").select(*((F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) if c in points.columns else F.lit(0).cast(t)).alias(c) for c, t in kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, number = [], 0, 0
+        file, number = Growing(scale), 0
         part = TaskContext.get().partitionId()
 
         def made() -> pa.RecordBatch:
-            columns = {c: np.concatenate([h[c] for h in held]) for c in kinds}
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{number:04d}.las"]), pa.array([file_of(columns, scale)], pa.binary())], names=["name", "content"])
+            content = pa.py_buffer(file.content())  # not copied
+            held = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, content.size], np.int32)), content])
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{number:04d}.las"]), held], names=["name", "content"])
 
         for b in batches:
             for at in range(0, b.num_rows, most):
                 piece = b.slice(at, most)
-                if count and count + piece.num_rows > most:
+                if file.count and file.count + piece.num_rows > most:
                     yield made()
-                    held, count, number = [], 0, number + 1
-                held.append({c: piece.column(c).to_numpy(zero_copy_only=False) for c in kinds})
-                count += piece.num_rows
-        if count:
+                    file, number = Growing(scale), number + 1
+                file.add({c: piece.column(c).to_numpy(zero_copy_only=False) for c in kinds})
+        if file.count:
             yield made()
 
     return rows.mapInArrow(run, "name string, content binary")

@@ -6,6 +6,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from geoloom.sources import las, shapefile, text
 from geoloom.sources.files import store
 
@@ -87,3 +89,23 @@ def test_stored_files(spark, tmp_path):
     rows = [("a.bin", b"one"), ("b.bin", b""), ("a.bin", b"one")]  # a name twice, as when a task runs twice
     assert store(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / "new" / "folder")) == 3
     assert {p.name: p.read_bytes() for p in (tmp_path / "new" / "folder").iterdir() if p.suffix == ".bin" and p.name[0] != "."} == {"a.bin": b"one", "b.bin": b""}
+
+
+def test_las_file_grows_by_batches_and_is_held_once():
+    import tracemalloc
+
+    n, step = 400_000, 10_000
+    rng = np.random.default_rng(7)
+    xyz = {c: np.round(rng.uniform(-500, 500, n), 2) for c in "xyz"}
+    rest = {"intensity": np.arange(n) % 900, "classification": np.arange(n) % 7, "gps_time": np.arange(n) / 8}
+    tracemalloc.start()
+    file = las.Growing(0.01)
+    for at in range(0, n, step):
+        file.add({c: v[at : at + step] for c, v in (xyz | rest).items()})
+    data = file.content()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    h = las.header(bytes(data[: las.HEADER]))
+    p = np.frombuffer(data, las.layout(h["format"], h["size"]), h["count"], h["start"])
+    assert h["count"] == n and most < 2.5 * len(data)
+    assert all(np.abs(p[c] * s + o - xyz[c]).max() < 1e-6 for c, s, o in zip("xyz", h["scale"], h["offset"], strict=True))
