@@ -542,6 +542,40 @@ def test_candidates_grow_with_the_lines(spark):
             assert count < line_dedup.LARGE * len(texts), (name, n, count)  # cells of at most LARGE lines are paired
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcdefgh ", min_size=20, max_size=60), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 59), st.sampled_from("xya")), max_size=3), st.integers(1, 3))
+def test_near_lines_have_a_rare_gram_in_common(line, edits, threshold):
+    other = list(line)
+    for kind, at, letter in edits[:threshold]:
+        at = min(at, len(other))
+        other[at : at + (kind < 2)] = letter * (kind > 0)
+    lines = [line, "".join(other)]
+    if len(lines[1]) >= line_dedup.LEAST:
+        bands = line_dedup._bands(threshold)
+        for shown in (lines, [], ["abcdefgh abcdefgh abcdefgh"]):
+            number, key = line_dedup.rare(lines, bands, line_dedup._ranks(shown, bands))
+            assert set(key[number == 0]) & set(key[number == 1])
+
+
+def test_rows_of_a_family_with_larger_edits(spark, monkeypatch):
+    """Lines that differ from one line by more than the threshold at any place: no table grows with the square of their number, or by splits."""
+    rng, sizes, write = random.Random(6), [], line_dedup.materialise
+    base = "".join(rng.choices("abcdefgh ", k=360))
+    texts = []
+    for _ in range(400):
+        at = rng.randrange(360)
+        texts.append(base[:at] + "".join(rng.choices("ijklmnopq", k=5)) + base[at:])
+    texts.append(texts[0][:50] + "!" + texts[0][50:])
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: (lambda out: sizes.append((out.count(), name)) or out)(write(df, name)))
+    every = line_dedup.lines(line_dedup.documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = line_dedup.links(every)
+    near = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if line_dedup.within(a, b, 3)}
+    named = {r["id"]: r["line"] for r in every.select(line_dedup._id("h1", "h2").alias("id"), "line").collect()}
+    got = {frozenset((named[r["u"]], named[r["v"]])) for r in found.collect()}
+    assert got <= near and _joined(got) == _joined(near) and near
+    assert max(sizes)[0] < 25 * len(texts), max(sizes)
+
+
 def test_edits_of_very_long_lines():
     a = "abcdefghij" * 20_000
     assert line_dedup.within("x" + a, a[:-1] + "y", 3) and not line_dedup.within("xyzw" + a, a, 3) and line_dedup.within(a[1:], a[:-1], 2)
