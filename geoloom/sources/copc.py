@@ -1,7 +1,8 @@
 """Cloud-optimised point clouds (COPC 1.0): their hierarchy of cells as a data source.
 
 A file's entries stand in pages of 32 bytes each; an entry with a point count of -1 names a further page, with zero it is empty. The source
-plans a partition for the root page of each file and one for each page that the root names; a task walks down from its page. A page
+plans a partition for the root page of each file and one for each page that the root names; a task walks down from its page. Of more
+than PLANNED files a partition is a run of files, so partitions do not grow with them. A page
 is only read if its cell may hold entries that are asked for: a cell below is never larger, coarser or further out, so upper
 bounds of level, xmin, ymin, zmin and lower bounds of xmax, ymax, zmax, spacing hold for all pages below. Such bounds come from the
 frame and the ground resolution given to ``entries``, and from pushed filters where Spark hands them over
@@ -31,7 +32,7 @@ INFO_AT, INFO = 375 + 54, struct.Struct("<5d2Q2d")  # centre, half size, spacing
 ENTRY = np.dtype([("level", "<i4"), ("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("offset", "<u8"), ("size", "<i4"), ("count", "<i4")])
 SCHEMA = "path string, level int, x int, y int, z int, offset long, byte_size int, point_count int, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double, spacing double"
 UPPER, LOWER = ("level", "xmin", "ymin", "zmin"), ("xmax", "ymax", "zmax", "spacing")
-PLANNED = 1000  # with more files than this, a file is one partition
+PLANNED = 1000  # with more files than this, a partition is a run of whole files, of which there are so many at most
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,11 @@ class Page(InputPartition):
     deep: bool  # with the pages below
 
 
+@dataclass
+class Files(InputPartition):
+    paths: list[str]
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.bounds = options["path"], json.loads(options.get("bounds", "{}"))
@@ -102,7 +108,8 @@ class Reader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         files = self.files()
         if len(files) > PLANNED:
-            return [Page(f, -1, 0, True) for f in files]
+            each = -(-len(files) // PLANNED)
+            return [Files(files[i : i + each]) for i in range(0, len(files), each)]
         out: list[InputPartition] = []
         for path in files:
             with _opened(path) as file:
@@ -114,8 +121,10 @@ class Reader(DataSourceReader):
         return out
 
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not isinstance(part, Page):
-            return
+        for page in [Page(f, -1, 0, True) for f in part.paths] if isinstance(part, Files) else [part] if isinstance(part, Page) else []:
+            yield from self._page(page)
+
+    def _page(self, part: Page) -> Iterator[pa.RecordBatch]:
         with _opened(part.path) as file:
             cube, offset, size = root_of(file)
             todo = [(offset, size) if part.offset < 0 else (part.offset, part.size)]

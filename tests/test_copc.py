@@ -95,3 +95,19 @@ def test_bytes_of_a_file(tmp_path, spark):
     (tmp_path / "y.copc.laz").write_bytes(bytes(head) + info + root[:40])
     with pytest.raises(Exception, match="cut short"):
         copc.entries(spark, str(tmp_path)).count()
+
+
+def test_many_files_are_runs_of_whole_files(tmp_path, monkeypatch):
+    import pandas as pd
+
+    from geoloom.sources import copc
+
+    rows = pd.DataFrame({"level": [0, 1, 3], "x": [0, 1, 5], "y": [0, 1, 2], "z": [0, 0, 0], "point_count": [5, 4, 3]})
+    for k in range(10):
+        (tmp_path / f"{k}.copc.laz").write_bytes(copc.hierarchy_of(rows, (0.0, 0.0, 0.0), 1000.0, 100.0, 2))
+    reader = copc.Reader({"path": str(tmp_path)})
+    read = lambda parts: sorted((r["path"], r["level"], r["x"], r["point_count"]) for p in parts for b in reader.read(p) for r in b.to_pylist())
+    planned = reader.partitions()
+    monkeypatch.setattr(copc, "PLANNED", 4)
+    parts = reader.partitions()
+    assert len(parts) == 4 < len(planned) and len(read(parts)) == 30 and read(parts) == read(planned)
