@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = 10_000
+SET, SET_BYTES = 50_000, 1 << 26  # records, and bytes of vertices, from which on a written set is closed
 KINDS = {0: "null", 1: "point", 3: "line", 5: "polygon", 8: "multipoint"}  # fixed values; 10 more with heights, 20 more with measures
 POINT = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
 
@@ -71,7 +73,8 @@ def _stem(path: str) -> str:
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+        for path, binary in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            data = binary.as_py()
             held: list[tuple] = []
             for number, content in records(data):
                 kind, parts, p = shape(content)
@@ -93,10 +96,9 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "latin-1") ->
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows = list(attributes(data, encoding))
-                for lo in range(0, len(rows), BATCH):
-                    part = rows[lo : lo + BATCH]
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                rows = attributes(content.as_py(), encoding)
+                while part := list(islice(rows, BATCH)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([_stem(name)] * len(part)), pa.array([n for n, _ in part], pa.int64()), pa.array([list(a.items()) for _, a in part], pa.map_(pa.string(), pa.string()))],
                         names=["file", "record", "attributes"],
@@ -158,36 +160,51 @@ def table_of(rows: list[dict[str, str]], encoding: str) -> bytes:
 def write_shapefiles(features: DataFrame, encoding: str = "latin-1") -> DataFrame:
     """features (kind, parts, pts and, if there, attributes) -> (name, content): the .shp, .shx and .dbf files of each task's rows.
 
-    A shapefile holds one kind, so a task gives a set of files for each kind it has; null shapes go to any set. A set is held in
-    the task's memory, as the format's 2 GB limit allows; repartition for smaller ones. Heights are written where all shapes of the set have them.
+    A shapefile holds one kind, so a task gives sets of files for each kind it has; null shapes go to any set. A set is held in
+    the task's memory, and closed at SET records or SET_BYTES of vertices, so memory does not grow with the table. Heights are written where all shapes of the set have them.
     """
     has_table = "attributes" in features.columns
     columns = ["kind", "parts", "pts", *(["attributes"] if has_table else [])]
 
+    def made(kind: str, rows: list[tuple[list[int], np.ndarray, dict]], number: int) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId()
+        stem = f"part-{part:05d}" + (f"-{number:05d}" if number else "")
+        flat = any(np.isnan(p[:, 2]).any() for _, p, _ in rows)
+        for _, p, _ in rows:
+            if flat:
+                p[:, 2] = np.nan
+        some = [p[:, :2] for _, p, _ in rows if len(p)]
+        every = np.concatenate(some) if some else np.zeros((1, 2))
+        high = np.concatenate([p[:, 2] for _, p, _ in rows])
+        heights = [0.0, 0.0] if flat or not len(high) else [high.min(), high.max()]
+        frame, with_z = [*every.min(axis=0), *every.max(axis=0), *heights], not flat and bool(some)
+        contents = [content_of(kind, parts, p) for parts, p, _ in rows]
+        body = b"".join(struct.pack(">2i", i, len(c) // 2) + c for i, c in enumerate(contents, 1))
+        sizes = np.array([len(c) for c in contents])
+        places = 100 + np.cumsum(sizes + 8) - sizes - 8
+        index = np.stack([places // 2, sizes // 2], axis=1).astype(">i4").tobytes()
+        files = {"shp": _header(kind, 100 + len(body), frame, with_z) + body, "shx": _header(kind, 100 + len(index), frame, with_z) + index, "dbf": table_of([a for _, _, a in rows], encoding)}
+        return pa.RecordBatch.from_arrays([pa.array([f"{stem}-{kind}.{x}" for x in files]), pa.array(list(files.values()), pa.binary())], names=["name", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, list[tuple[list[int], np.ndarray, dict]]] = {}
+        held: dict[str, int] = {}
+        closed: dict[str, int] = {}
+
+        def close(kind: str) -> pa.RecordBatch:
+            closed[kind] = closed.get(kind, 0) + 1
+            held[kind] = 0
+            return made(kind, sets.pop(kind), closed[kind] - 1)
+
         for b in batches:
-            for row in b.to_pylist():
+            for row in (r for lo in range(0, b.num_rows, 1000) for r in b.slice(lo, 1000).to_pylist()):
                 pts = np.array([(p["x"], p["y"], np.nan if p["z"] is None else p["z"]) for p in row["pts"] or ()], float).reshape(-1, 3)
                 kind = row["kind"] if len(pts) else next(iter(sets), "point")
                 sets.setdefault(kind, []).append((row["parts"] or [], pts, dict(row.get("attributes") or ())))
-        part = TaskContext.get().partitionId()
-        for kind, rows in sets.items():
-            flat = any(np.isnan(p[:, 2]).any() for _, p, _ in rows)
-            for _, p, _ in rows:
-                if flat:
-                    p[:, 2] = np.nan
-            some = [p[:, :2] for _, p, _ in rows if len(p)]
-            every = np.concatenate(some) if some else np.zeros((1, 2))
-            high = np.concatenate([p[:, 2] for _, p, _ in rows])
-            heights = [0.0, 0.0] if flat or not len(high) else [high.min(), high.max()]
-            frame, with_z = [*every.min(axis=0), *every.max(axis=0), *heights], not flat and bool(some)
-            contents = [content_of(kind, parts, p) for parts, p, _ in rows]
-            body = b"".join(struct.pack(">2i", i, len(c) // 2) + c for i, c in enumerate(contents, 1))
-            sizes = np.array([len(c) for c in contents])
-            places = 100 + np.cumsum(sizes + 8) - sizes - 8
-            index = np.stack([places // 2, sizes // 2], axis=1).astype(">i4").tobytes()
-            made = {"shp": _header(kind, 100 + len(body), frame, with_z) + body, "shx": _header(kind, 100 + len(index), frame, with_z) + index, "dbf": table_of([a for _, _, a in rows], encoding)}
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{kind}.{x}" for x in made]), pa.array(list(made.values()), pa.binary())], names=["name", "content"])
+                held[kind] = held.get(kind, 0) + pts.nbytes
+                if len(sets[kind]) >= SET or held[kind] >= SET_BYTES:
+                    yield close(kind)
+        for kind in list(sets):
+            yield close(kind)
 
     return features.select(*columns).mapInArrow(run, "name string, content binary")

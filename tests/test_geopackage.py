@@ -110,3 +110,15 @@ def test_from_wkb(spark):
     got = [(r["KIND"], r["kind_"], r["parts"], None if r["pts"] is None else [tuple(p) for p in r["pts"]]) for r in out.collect()]
     assert got[0] == ("own", "line", [0], [(1, 2, 3), (4, 5, 6)]) and got[2] == ("x", None, None, None)
     assert got[1][1:3] == ("polygon", [0, 3]) and got[1][3][3] == (5, 5, None)
+
+
+def test_a_set_of_shapes_is_closed_when_it_is_full(spark, tmp_path):
+    from geoloom.sources.files import store
+
+    n = 120_003
+    point = ["'point' AS kind", "array(0) AS parts", "array(named_struct('x', CAST(id AS DOUBLE), 'y', 1e0, 'z', 2e0)) AS pts", "map('id', CAST(id AS STRING)) AS attributes"]
+    files = shapefile.write_shapefiles(spark.range(0, n, 1, 1).selectExpr(*point))
+    assert files.count() == 9
+    store(files, str(tmp_path))
+    back = shapefile.read_shapefile(spark, str(tmp_path)).selectExpr("count(*)", "count(DISTINCT attributes['id'])", "count_if(CAST(pts[0].x AS BIGINT) = CAST(attributes['id'] AS BIGINT))").first()
+    assert tuple(back) == (n, n, n)
