@@ -120,3 +120,39 @@ def test_sketches_spare_texts_and_lose_no_pair():
             assert all(m or not similar.alike(x, y) for m, y in zip(may, sets, strict=True))
         other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         assert n == 1 or not similar.may_be_alike(rows[:1], np.frombuffer(similar.sketch(other), np.uint8)[None], size[:1], np.array([len(other)]))[0]
+
+
+def test_differences_from_a_centre_lose_no_pair():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    pool = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    centre = np.unique(base[:140])
+    made = [np.unique(np.r_[rng.choice(centre, 140 - int(k), False), rng.choice(pool, int(e), False)]) for k, e in rng.integers(0, 60, (250, 2))]
+    sets = [x for x in made if not similar.alike(x, centre)] + [x for x in made if similar.alike(x, centre)][:20]
+    count = sum(similar.lacks(x, centre) for x in sets)
+    frequent = np.sort(pool[:30])
+    found = [similar.differing(x, centre, count, frequent, np.arange(30)) for x in sets]
+    pairs = 0
+    for x, (d, keys, _) in zip(sets, found, strict=True):
+        for y, (e, others, low) in zip(sets, found, strict=True):
+            if x is not y and d >= e and similar.alike(x, y) and not (similar.alike(x, centre) and similar.alike(y, centre)):
+                pairs += 1
+                assert len(np.intersect1d(keys, others[:low]))
+    assert pairs > 50
+
+
+def test_a_large_family_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((3, 4, 5, 5))):
+            words[at] = f"x{i}y{at}" if rng.random() < 0.8 else f"z{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    checked, sizes = similar._checked, []
+    monkeypatch.setattr(similar, "_checked", lambda pairs, *more: sizes.append(pairs.count()) or checked(pairs, *more))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == _plain_kept(rows)
+    assert sum(sizes) < 8 * len(texts), sizes
