@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 
 from geoloom.llm import similar, toxicity
 
@@ -156,3 +157,24 @@ def test_a_large_family_makes_few_pairs(spark, monkeypatch):
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == _plain_kept(rows)
     assert sum(sizes) < 8 * len(texts), sizes
+
+
+def test_keys_of_the_same_texts_count_once(spark):
+    """Keys of two texts are decided at once, keys that the same texts have are one: neither is held against components again."""
+    sizes = {10: 100, 11: 100, 12: 100, 13: 40}
+    groups = [(k, h, 100 - k) for k in range(1, 16) for h in (10, 11, 12)] + [(k, h, 30) for k in (20, 21) for h in (10, 13)] + [(30, 11, 95), (30, 12, 95), (40, 13, 9)]
+    rows = pd.DataFrame(groups, columns=["key", "h", "rest"]).assign(n=lambda x: x["h"].map(sizes))[["key", "h", "n", "rest"]]
+    shared = pd.concat(similar._shared(iter([rows])))
+    assert set(shared.loc[shared["size"] == 2, ["key", "first", "h"]].itertuples(index=False, name=None)) == {(30, 11, 12)}
+    assert sorted(r["h"] for r in similar._once(spark.createDataFrame(shared, similar.SHARED)).where("key = 1").collect()) == [10, 11, 12]
+    assert similar._once(spark.createDataFrame(shared, similar.SHARED)).count() == 3
+
+
+def test_a_large_table_shows_more_frequent_shingles(spark, monkeypatch):
+    """A passage that one text in twenty has comes last in the order, however many texts there are."""
+    monkeypatch.setattr(similar, "SAMPLE", 20)
+    passage = " ".join(f"p{i}" for i in range(9))
+    texts = [f"{k} a{k} b{k} c{k} d{k} e{k} f{k} " + (passage if k % 20 == 0 else "") for k in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) AS h", "text")
+    frequent, rank = similar.frequent_shingles(rows)
+    assert set(similar.shingles(passage)) == set(frequent) and (np.diff(frequent.astype(object)) > 0).all() and (rank >= 30).all()
