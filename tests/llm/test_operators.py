@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -576,6 +577,27 @@ def test_rows_of_a_family_with_larger_edits(spark, monkeypatch):
     assert max(sizes)[0] < 25 * len(texts), max(sizes)
 
 
+def test_long_lines_are_hashed_in_parts():
+    """A batch of 1,000 long lines would take gigabytes of sums at once; whole lines, in order, and a line over the bound is alone."""
+    for sizes in ([300_000] * 40, [20] * 1000, [3_000_000, 20, 20, 3_000_000], [line_dedup.HASHED] * 3, [20], []):
+        lines = ["é" * n for n in sizes]
+        parts = [p.column("line").to_pylist() for p in line_dedup._parts(pa.RecordBatch.from_pydict({"line": pa.array(lines, pa.string())}))]
+        assert [x for p in parts for x in p] == lines
+        assert all(sum(map(len, p)) - len(p[0]) <= line_dedup.HASHED for p in parts)
+    points = np.array([0, 65, 0x10FFFF], np.uint64)
+    assert (line_dedup._letters()[points] == line_dedup._mixed(points + np.uint64(1))).all()
+
+
+def test_a_group_is_one_cell_of_few_rows(spark):
+    """Lines that leave the pivot soon and could follow it for long are in many cells; a group that can be paired as it is needs none."""
+    rows = [(1, h, h, 0, 0, [], False, 0, 900, 0, 900, True, 1000, h % 2 == 0) for h in range(1, 41)] + [(1, 50, 50, 0, 0, [], True, 0, 0, 0, 0, True, 1000, False)]
+    probed = spark.createDataFrame(rows, "g long, h1 long, h2 long, p1 long, p2 long, before array<long>, near boolean, a int, b int, c int, d int, own boolean, n int, ring boolean")
+    assert line_dedup._cells(probed, 41).count() == 41 and line_dedup._cells(probed, 40).count() > 1000
+    pairs = {(r["h1_x"], r["h1_y"]) for r in line_dedup._pairs(line_dedup._cells(probed, 41), 41).collect()}
+    split = {(r["h1_x"], r["h1_y"]) for r in line_dedup._pairs(line_dedup._cells(probed, 8), 41).collect()}
+    assert pairs == split and len(pairs) >= 40 * 39 // 2
+
+
 def test_edits_of_very_long_lines():
     a = "abcdefghij" * 20_000
     assert line_dedup.within("x" + a, a[:-1] + "y", 3) and not line_dedup.within("xyzw" + a, a, 3) and line_dedup.within(a[1:], a[:-1], 2)
